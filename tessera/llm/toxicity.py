@@ -105,39 +105,42 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
     """Posterior of the positive class for each row of votes, with no label used.
 
     A two-class model with a firing rate of each voter in each class, fitted by expectation maximisation from the
-    majority vote. Voters that fire together within a class say the same thing: pairwise correlations, given the
-    class, are estimated with the rates, and a voter's log odds are divided by the sum of its positive ones.
+    majority vote; voters are taken to be better than chance. Voters that fire together within a class say the
+    same thing: correlations, given the class, are then estimated pair by pair, and in the posterior that is
+    returned a voter's log odds are divided by the sum of its positive ones.
     """
     v = votes.astype(float)
-    posterior = np.where(v.sum(axis=1) > 0, 0.9, prior / 2)
-    for _ in range(rounds):
+    posterior = np.where(v.any(axis=1), 0.9, prior / 10)
+    discount = np.ones(v.shape[1])
+    for turn in range(rounds + 1):
         share = np.clip(posterior.mean(), 1e-3, 0.5)
-        rates, spread = [], np.zeros((v.shape[1], v.shape[1]))
-        for weight in (posterior, 1 - posterior):
-            total = weight.sum() + 2
-            rate = (weight @ v + 0.05) / total
-            centred = v - rate
-            cov = (centred * weight[:, None]).T @ centred / total
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            spread = np.maximum(spread, cov / np.outer(sd, sd))
-            rates.append(np.clip(rate, 1e-4, 1 - 1e-4))
-        discount = 1 / np.maximum(np.where(spread > 0.1, spread, 0).sum(axis=1), 1)
-        pos, neg = rates
+        pos = np.clip((posterior @ v + 0.1) / (posterior.sum() + 1), 1e-3, 1 - 1e-3)
+        neg = np.clip(((1 - posterior) @ v + 0.01) / ((1 - posterior).sum() + 1), 1e-5, pos)
+        if turn == rounds:
+            together = np.zeros((v.shape[1], v.shape[1]))
+            for weight, rate in ((posterior, pos), (1 - posterior, neg)):
+                centred = v - rate
+                cov = (centred * weight[:, None]).T @ centred / (weight.sum() + 1)
+                sd = np.sqrt(np.maximum(np.diag(cov), 1e-3))
+                together = np.maximum(together, cov / np.outer(sd, sd))
+            np.fill_diagonal(together, 1)
+            discount = 1 / np.where(together > 0.1, together, 0).sum(axis=1)
         fired, silent = np.log(pos / neg), np.log((1 - pos) / (1 - neg))
         margin = np.log(share / (1 - share)) + v @ (discount * fired) + (1 - v) @ (discount * silent)
         posterior = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
     return posterior
 
 
-def linear_model(x: np.ndarray, target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic weights (the last is the bias) by accelerated gradient descent on soft labels."""
+def linear_model(x: np.ndarray, target: np.ndarray, rounds: int = 8, ridge: float = 0.3) -> np.ndarray:
+    """Logistic weights (the last is the bias, without penalty) by Newton steps on soft labels."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    step = 4 / (np.square(x).sum(axis=1).mean() + ridge)
-    w = ahead = np.zeros(x.shape[1])
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - step * (x.T @ (p - target) / len(x) + ridge * ahead)
-        ahead, w = new + k / (k + 3) * (new - w), new
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * np.maximum(p * (1 - p), 1e-4)[:, None].astype(x.dtype)).T @ x
+        w = w + np.linalg.solve(curve + np.diag(penalty), x.T @ (target - p) - penalty * w)
     return w
 
 
