@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 #: What counts as white space in every word-based contract here.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+HEAVY = 1000  # a key with more than 1/HEAVY of the rows joins by broadcast; there are fewer than HEAVY of them
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,5 +92,18 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, bucket
     )
 
 
+def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows left-joined with a summary of one row a key, where `weight` counts the rows of that key.
+
+    Fewer than HEAVY keys can hold more than 1/HEAVY of all rows: these are broadcast, and only rows of lighter
+    keys shuffle, so that no task gets a large group.
+    """
+    added = [c for c in summary.columns if c not in keys]
+    tagged = rows.join(F.broadcast(summary.where(F.col(weight) * HEAVY > total)), keys, "left")
+    rest = tagged.where(F.col(weight).isNull()).drop(*added)
+    light = rest.join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
+    return tagged.where(F.col(weight).isNotNull()).unionByName(light)
+
+
 def schema_of(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])

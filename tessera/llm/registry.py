@@ -25,6 +25,18 @@ def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import score_quality
 
@@ -57,6 +69,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op2_find_pii": op2_find_pii,
+    "op3_simhash_components": op3_simhash_components,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_score_quality": op5_score_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_score_toxicity": op7_score_toxicity,

@@ -5,23 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, ranked, text_of
+from tessera.llm.common import attach, cut, ranked, text_of
 
 SLICES = 64
-HEAVY = 1000  # a hub with more than 1/HEAVY of the rows joins by broadcast; there are fewer than HEAVY of them
-
-
-def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """rows left-joined with a summary of one row a key, where `weight` counts the rows of that key.
-
-    Fewer than HEAVY keys can hold more than 1/HEAVY of all rows: these are broadcast, and only rows of lighter
-    keys shuffle, so that no task gets a large group.
-    """
-    added = [c for c in summary.columns if c not in keys]
-    tagged = rows.join(F.broadcast(summary.where(F.col(weight) * HEAVY > total)), keys, "left")
-    rest = tagged.where(F.col(weight).isNull()).drop(*added)
-    light = rest.join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
-    return tagged.where(F.col(weight).isNotNull()).unionByName(light)
 
 
 def _requests(state: DataFrame, capacity: int, open_shards: list[int], turn: int, linked: int) -> DataFrame:
