@@ -66,6 +66,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op2_find_pii": op2_find_pii,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_score_toxicity": op7_score_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_katz_scores": op10_katz_scores,
 }
 
 ORACLES: dict[str, str] = {
