@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, text_of
+from tessera.llm.common import fold, packed, text_of, unpacked
 
 WORDS, SHAPES = 2048, 512  # hashed terms: words, and the shapes of words
 TERMS = WORDS + SHAPES
@@ -112,6 +112,7 @@ def score_quality(
     label_col: str = "quality",
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: list[str] | None = None,
     modulus: int = 5,
     held: int = 0,
     fit_rows: int = 6000,
@@ -125,10 +126,12 @@ def score_quality(
     scored). Their terms give latent-semantic loadings; the labelled vectors (fit_rows x width floats) are
     broadcast, and every document's cosine with each of them is computed in blocks. No shuffle of documents.
 
-    Returned, one row for each row: the id, held_out (crc32 of the id mod `modulus` equals `held`), score (0 to 1),
-    predicted. A null text counts as empty; texts without words score the mean label; without any label all
+    Returned: the carried columns (default: all) with held_out (crc32 of the id mod `modulus` equals `held`), score
+    (0 to 1) and predicted, which replace input columns of such names. A null text counts as empty; texts without words score the mean label; without any label all
     score 1. A null id is hashed as the empty text.
     """
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
+    rows = docs.select(packed(carry), F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     sample = sampled_labels(docs, named, "doc_id", "label", fit_rows, lambda c: fold(c, modulus) != held)
@@ -157,25 +160,29 @@ def score_quality(
         model = None
     shared = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = Terms()
         for batch in batches:
+            scores = np.ones(len(batch))
             if shared.value is None:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1.0})
+                yield pd.Series(scores)
                 continue
             loadings, vectors, y, mean = shared.value
-            scores = np.empty(len(batch))
-            texts = batch["text"].tolist()
+            texts = batch.tolist()
             for lo in range(0, len(texts), 256):
-                rows = np.stack([counter.row(t or "") for t in texts[lo : lo + 256]])
-                got = vote(unit(rows @ loadings), vectors, y, neighbours)
-                scores[lo : lo + 256] = np.where(rows.any(axis=1), got, mean)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores.clip(0, 1)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(score, f"doc_id {kind}, score double").select(
-        F.col("doc_id").alias(id_col),
-        (fold("doc_id", modulus) == held).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+                x = np.stack([counter.row(t) for t in texts[lo : lo + 256]])
+                got = vote(unit(x @ loadings), vectors, y, neighbours)
+                scores[lo : lo + 256] = np.where(x.any(axis=1), got, mean)
+            yield pd.Series(scores.clip(0, 1))
+
+    return (
+        rows.withColumn("__score", score("__text"))
+        .withColumn("__out", fold("__id", modulus) == held)
+        .select(
+            *unpacked(carry),
+            F.col("__out").alias("held_out"),
+            F.col("__score").alias("score"),
+            (F.col("__score") >= threshold).cast("int").alias("predicted"),
+        )
     )

@@ -40,7 +40,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import score_quality
 
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op7_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
