@@ -1,6 +1,422 @@
-"""Registered queries of the retrieval engine and their DuckDB equivalents."""
+"""Registered queries of the retrieval engine over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import models
+from tessera.functions import text as tx
+from tessera.operators import captions, chunks, hybrid, incremental, lexical, vectors
+from tessera.plans.oracles import ORACLES  # noqa: F401
+from tessera.plans.parameters import LABEL, MODEL_NAMES, QUERY, QUERY_VECTOR, REPEATED, STOPWORD_QUERY
+from tessera.sources import transcripts as io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as passages (id, document, video_id)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("video_id"))
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that have a vector of the same number, with its label."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return passages(spark, sf_dir).join(e, "id")
+
+
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts: every line of a turn is a segment of 9 seconds, one each 10 seconds."""
+    c = table(spark, sf_dir, "conversations")
+    lines = c.select(F.col("conv_id").alias("video_id"), "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    pos = (F.col("turn") * 1000 + F.col("line")).cast("int")
+    return lines.select("video_id", pos.alias("pos"), (pos * 10.0).alias("start"), (pos * 10.0 + 9).alias("end"), "text")
+
+
+def scored(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def tokenize_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("t", tx.tokens(F.col("text")))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query
+def term_frequency(spark, sf_dir):
+    return lexical.term_frequencies(passages(spark, sf_dir)).select("id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query
+def document_frequency(spark, sf_dir):
+    return lexical.document_frequencies(lexical.term_frequencies(passages(spark, sf_dir)))
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return lexical.corpus_stats(lexical.document_lengths(passages(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    return scored(lexical.bm25(passages(spark, sf_dir), QUERY, 20))
+
+
+@query
+def bm25_repeated_term(spark, sf_dir):
+    return scored(lexical.bm25(passages(spark, sf_dir), REPEATED, 20))
+
+
+@query
+def bm25_stopword_only(spark, sf_dir):
+    return scored(lexical.bm25(passages(spark, sf_dir), STOPWORD_QUERY, 20))
+
+
+@query
+def bm25_multi_query(spark, sf_dir):
+    index = lexical.LexicalIndex.build(passages(spark, sf_dir))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    found = lexical.bm25_many(index, asked, 5)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def near(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return near(vectors.cosine_top_k(e, QUERY_VECTOR, 20))
+
+
+@query
+def cosine_topk_filtered(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").where(F.col("label") == LABEL)
+    return near(vectors.cosine_top_k(e, QUERY_VECTOR, 20))
+
+
+@query
+def l2_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    unit = e.select("vec_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("pos", "x"))
+    return unit.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query
+def dim_validate(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id").join(vectors.wrong_dimension(e, 64).select("vec_id"), "vec_id", "left_anti")
+
+
+def shown(found: DataFrame) -> DataFrame:
+    """Results as numbers; -1 stands for a missing rank or distance."""
+    ints = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("vector_rank", "lexical_rank", "pos")]
+    distance = F.coalesce(F.round("distance", 6), F.lit(-1.0)).alias("distance")
+    return found.select("id", distance, *ints, F.round("score", 8).alias("score"))
+
+
+@query
+def rrf_fusion(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY))
+
+
+@query
+def rrf_weighted(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY, lexical_weight=5.0))
+
+
+@query
+def rrf_vector_only(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY, lexical_weight=0.0))
+
+
+@query
+def hybrid_empty_lexical(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, "xyzzy plugh"))
+
+
+@query
+def hybrid_filtered(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY, where=F.col("label") == LABEL))
+
+
+@query
+def hybrid_min_score(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY, min_score=0.014))
+
+
+@query
+def hybrid_diversified(spark, sf_dir):
+    return shown(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY, per_video=1, top_k=10))
+
+
+@query
+def result_labels(spark, sf_dir):
+    found = hybrid.labels(hybrid.hybrid_search(embedded(spark, sf_dir), QUERY_VECTOR, QUERY))
+    return found.select("id", "origin", "distance_label", "score_label")
+
+
+@query
+def diversify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ordered = d.orderBy(F.col("n_chars").desc(), "doc_id").limit(200)
+    ordered = ordered.withColumn("pos", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")) - 1)
+    found = hybrid.diversify(ordered.select("doc_id", F.col("source").alias("video_id"), "pos"), 2)
+    return found.select("doc_id", "video_id", F.col("pos").cast("int").alias("pos"))
+
+
+@query
+def point_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return io.lookup(passages(spark, sf_dir), ids, F.col("video_id") == "src0").select("id", "video_id")
+
+
+@query
+def noise_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), tx.is_noise(F.col("t")).alias("noise"), tx.ends_sentence(F.col("t")).alias("stop"))
+
+
+@query
+def segments_valid(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = e.select(
+        F.col("user_id").alias("video_id"),
+        F.col("event_id").alias("pos"),
+        F.col("value").cast("string").alias("start"),
+        F.when(F.col("event_id") % 3 == 0, "bad").otherwise(F.get_json_object("props", "$.k")).alias("end"),
+        F.when(F.col("event_type") == "error", "[música]").otherwise(F.col("event_type")).alias("text"),
+    )
+    return chunks.valid_segments(raw)
+
+
+def blocked(spark, sf_dir, merge: bool, trim: bool) -> DataFrame:
+    rows = chunks.greedy_blocks(chunks.numbered(chunks.valid_segments(timed_lines(spark, sf_dir))))
+    rows = chunks.merge_short(rows) if merge else rows
+    rows = chunks.trim_links(rows) if trim else rows
+    return rows.select("video_id", F.col("seg").cast("int").alias("seg"), F.col("block").cast("int").alias("block"))
+
+
+@query
+def chunk_greedy(spark, sf_dir):
+    return blocked(spark, sf_dir, False, False)
+
+
+@query
+def chunk_merged(spark, sf_dir):
+    return blocked(spark, sf_dir, True, False)
+
+
+@query
+def chunk_trimmed(spark, sf_dir):
+    return blocked(spark, sf_dir, True, True)
+
+
+@query
+def chunk_full(spark, sf_dir):
+    found = chunks.chunk_transcripts(timed_lines(spark, sf_dir))
+    ints = [F.col(c).cast("int").alias(c) for c in ("chunk_index", "total_chunks", "word_count", "char_count")]
+    return found.select("id", "document", "video_id", "title", "timestamp_url", "start_time", "end_time", "start_str", "end_str", *ints)
+
+
+@query
+def format_seconds(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    scaled = F.col("value") * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(50.0)
+    return e.select("event_id", tx.format_seconds(scaled).alias("label"))
+
+
+@query
+def vtt_timestamp(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", tx.vtt_timestamp(F.col("value")).alias("label"))
+
+
+@query
+def timestamp_url(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", tx.timestamp_url(F.col("url"), F.col("page_id") * 7.9).alias("url"))
+
+
+@query
+def caption_time_parse(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 5 == 0, "junk").otherwise(F.replace(tx.vtt_timestamp(F.col("value")), F.lit("."), F.lit(",")))
+    return e.select("event_id", F.round(tx.caption_seconds(text), 3).alias("seconds"))
+
+
+@query
+def caption_clean(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", captions.clean_caption(F.col("html")).alias("text"))
+
+
+def rolling_captions(spark, sf_dir) -> DataFrame:
+    """A WebVTT text for each conversation; every second cue repeats the line before its own."""
+    rows = timed_lines(spark, sf_dir).where(F.trim("text") != "")
+    by = Window.partitionBy("video_id").orderBy("pos")
+    rows = rows.withColumn("i", F.row_number().over(by)).withColumn("prev", F.lag("text").over(by))
+    said = F.when(F.col("i") % 2 == 0, F.concat_ws(" ", "prev", "text")).otherwise(F.col("text"))
+    cues = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", said.alias("text")))).alias("cues"))
+    return cues.select(F.col("video_id").alias("path"), io.as_vtt(F.col("cues")).alias("content"))
+
+
+@query
+def caption_cues(spark, sf_dir):
+    found = captions.parse_cues(rolling_captions(spark, sf_dir))
+    return found.select("path", "start", "end", "text")
+
+
+@query
+def caption_dedupe(spark, sf_dir):
+    found = captions.parse_captions(rolling_captions(spark, sf_dir))
+    return found.select("path", F.inline("segments"))
+
+
+@query
+def caption_best_source(spark, sf_dir):
+    files = rolling_captions(spark, sf_dir)
+    both = files.select(F.concat(F.col("path").cast("string"), F.lit("/b")).alias("path"), "content").unionByName(
+        files.select(F.concat(F.col("path").cast("string"), F.lit("/a")).alias("path"), F.substring_index("content", "\n\n", 4).alias("content"))
+    )
+    best = io.best_captions(both, F.split("path", "/")[0])
+    return best.select("video_id", "path", F.size("segments").cast("long").alias("n_segments"))
+
+
+@query
+def anti_join_pending(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return incremental.pending(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query
+def duration_filter(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    duration = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, 0.0).otherwise(F.col("value"))
+    return e.where(incremental.listed(duration, F.col("event_type") == "error")).select("event_id")
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    """Labelled documents as a manifest: some records are of an older chunker or have no time."""
+    l = table(spark, sf_dir, "labels")
+    return l.select(
+        F.col("doc_id").alias("video_id"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 13 * 300.0).alias("mtime"),
+        F.when(F.col("doc_id") % 4 != 0, 2).alias("chunker"),
+    )
+
+
+def selected(spark, sf_dir, force: bool) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.col("n_chars").cast("double").alias("mtime"))
+    return incremental.select_videos(files, manifest(spark, sf_dir), force=force)
+
+
+@query
+def incremental_select(spark, sf_dir):
+    return selected(spark, sf_dir, False).select("video_id", "action", "altered")
+
+
+@query
+def incremental_forced(spark, sf_dir):
+    return selected(spark, sf_dir, True).select("video_id", "action", "altered")
+
+
+@query
+def incremental_counts(spark, sf_dir):
+    return incremental.counters(selected(spark, sf_dir, False))
+
+
+@query
+def manifest_rebuild(spark, sf_dir):
+    return incremental.rebuild_manifest(passages(spark, sf_dir))
+
+
+@query
+def upsert_replace(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") - 10).cast("long").alias("n_chars"))
+    return incremental.upsert(d, new)
+
+
+@query
+def delete_by_key(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return incremental.delete_by_key(d, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query
+def bot_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    message = F.when(F.col("event_type") == "error", F.concat(F.lit("HTTP Error 40"), (F.col("event_id") % 5).cast("string"))).otherwise(F.col("event_type"))
+    return e.select("event_id", incremental.is_bot_error(message).alias("bot"))
+
+
+@query
+def video_url(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    web = F.when(F.col("page_id") % 3 == 0, F.col("url"))
+    other = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("id"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return p.select("page_id", incremental.video_url(web, other, F.col("page_id").cast("string")).alias("url"))
+
+
+@query
+def model_registry(spark, sf_dir):
+    return models.registry_table(spark)
+
+
+@query
+def model_resolve(spark, sf_dir):
+    return models.resolve_table(spark.createDataFrame([(n,) for n in MODEL_NAMES], "model string"))
+
+
+@query
+def embed_prepare(spark, sf_dir):
+    spec = models.MODELS["intfloat/multilingual-e5-large"]
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", models.document_input(F.col("text"), spec).alias("input"), models.flattened(F.col("text")).alias("line"))
+
+
+def exported(spark, sf_dir) -> DataFrame:
+    rows = timed_lines(spark, sf_dir)
+    listed = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text")))
+    grouped = rows.groupBy("video_id").agg(listed.alias("s"))
+    bare = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    return grouped.select("video_id", bare.alias("segments"))
+
+
+def export(spark: SparkSession, sf_dir: str, form: Callable[[Column], Column]) -> DataFrame:
+    return exported(spark, sf_dir).select("video_id", form(F.col("segments")).alias("content"))
+
+
+@query
+def vtt_export(spark, sf_dir):
+    return export(spark, sf_dir, io.as_vtt)
+
+
+@query
+def txt_export(spark, sf_dir):
+    return export(spark, sf_dir, io.as_text)
+
+
+@query
+def output_names(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    date = F.when(F.col("page_id") % 2 == 0, "20240101")
+    return p.select("page_id", io.output_name(date, F.col("url"), F.col("page_id").cast("string")).alias("name"))
