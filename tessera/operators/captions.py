@@ -8,11 +8,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities have no built-in function; only texts with an ampersand differ."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
