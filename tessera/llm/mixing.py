@@ -15,7 +15,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     """Water-filling: (__src, __source_size) -> with __target. One row a source, ranked in one task.
 
     Sources by code point, null last, take the weights in turn. Sorted by capacity over weight, the capped ones
-    come first: source i is capped when what is left for it exceeds `most` times its size.
+    come first: source i is capped when what is left for it exceeds `most` times its size. What is left, in words
+    and in weights, falls along that order, so the first source that is not capped has the largest of both.
     """
     ordered = Window.orderBy(F.col("__src").isNull(), "__src")
     turn = F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights)))
@@ -33,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
         .withColumn("__left", share[0] * F.col("__all") - share[1] * most * F.col("__size_before"))
         .withColumn("__w_left", F.col("__weights") - F.col("__w_before"))
         .withColumn("__capped", share[1] * most * F.col("__source_size") * F.col("__w_left") <= F.col("__left") * F.col("__w"))
-        .withColumn("__left_free", F.min(F.when(~F.col("__capped"), F.col("__left"))).over(whole))
+        .withColumn("__left_free", F.max(F.when(~F.col("__capped"), F.col("__left"))).over(whole))
         .withColumn("__w_free", F.max(F.when(~F.col("__capped"), F.col("__w_left"))).over(whole))
     )
     free = (F.col("__w") * F.col("__left_free")).cast("double") / (share[1] * F.col("__w_free")).cast("double")
@@ -61,7 +62,7 @@ def mix_sources(
     twice over. A document's virtual finish time is the running word count of its source divided by the source's
     target; the mix is the prefix, in order of finish time, that fits the total. Everything finishing by time 1
     fits (no source is past its target there); of what follows, only documents within the few words still left
-    can enter, and these alone are sorted together. Running counts come from (source, hash bucket) sums, so a hot
+    can enter, and these and each source's first that is too long (the prefix ends there) are sorted together. Running counts come from (source, hash bucket) sums, so a hot
     source is split over 4096 buckets.
 
     Returned: the carried columns (default: all) with size, source_size, target, taken (words) and finish (virtual
@@ -120,9 +121,9 @@ def mix_sources(
         .select("__src", "__id", "__order", "__tie", "__size", "__cum", "__source_size", "__target", "__copies")
         .withColumn("__turn", F.explode(F.sequence(F.col("__copies"), F.lit(1))))
         .withColumn("__at", F.col("__cum") + F.col("__turn") * F.col("__source_size"))
-        .where((F.col("__at") > F.col("__target")) & (F.col("__at") - F.col("__target") <= left))
+        .where((F.col("__at") > F.col("__target")) & (F.col("__at") - F.col("__size") - F.col("__target") <= left))
         .join(got, F.col("__src").eqNullSafe(F.col("__gsrc")))
-        .where(F.col("__at") - F.col("__got") <= left)
+        .where(F.col("__at") - F.col("__size") - F.col("__got") <= left)
     )
     line = Window.orderBy(
         F.col("__at") / F.col("__target"), F.col("__src").isNull(), "__src", "__order", "__id", "__tie", "__turn"
@@ -179,7 +180,7 @@ c AS (
   SELECT *, 3 * total - 4 * sb AS lft, ws - wb AS wl,
          4 * source_size * (ws - wb) <= (3 * total - 4 * sb) * w AS capped FROM p),
 f AS (
-  SELECT *, min(CASE WHEN NOT capped THEN lft END) OVER () AS lf, max(CASE WHEN NOT capped THEN wl END) OVER () AS wf
+  SELECT *, max(CASE WHEN NOT capped THEN lft END) OVER () AS lf, max(CASE WHEN NOT capped THEN wl END) OVER () AS wf
   FROM c),
 t AS (
   SELECT source, source_size, total,
