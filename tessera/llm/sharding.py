@@ -64,11 +64,12 @@ def shard_documents(
     """Deals documents to shards whose row counts differ by at most one, keeping linked documents together.
 
     Documents with an equal, not null `hub` value are linked (default: equal texts), every one with every other.
-    Linked documents start dealt out evenly. In each round every hub names the shards where it is strongest and
-    that have room (one, or as many as its size needs), and its documents elsewhere ask to move there. Requests
-    are counted by (goal, gain, slice), at most shards x 40 x 64 numbers; each shard accepts the largest gains
-    first while they fit its quota. Unlinked documents cut no edge, so they fill the shards up at the end. Rounds
-    end early when nobody moves. Links are never expanded into pairs.
+    Linked documents start dealt out evenly over the room that shards have. In each round every hub names the shards
+    where it is strongest and that have room (one, or as many as its size needs), and its documents elsewhere ask
+    to move there. Requests are counted by (goal, gain, slice), at most shards x 40 x 64 numbers; each shard accepts
+    the largest gains first while they fit its quota. Large hubs gather first, then the small ones in the room left;
+    unlinked documents cut no edge, so they fill the shards up at the end. Rounds end early when nobody moves.
+    Links are never expanded into pairs.
 
     Returned, one row for each row: the id, size (UTF-8 bytes + 8), text_crc32, law ('rows'), shard, slot (gapless
     in a shard), grown_shard (null: this law does not grow), linked. A null text has 0 bytes and crc 0 and equals
@@ -91,60 +92,60 @@ def shard_documents(
     rows = cut(attach(rows, sizes, ["hub"], "n", total))
     buckets = min(4096, max(32, total // 50_000))
     names = ["id", "size", "crc", "h", "hub"]
-    state = ranked(rows.where("n is not null").select(*names), [], ["h", "id"], "r", buckets).select(
-        *names, F.pmod("r", F.lit(shards)).cast("int").alias("shard")
-    )
-    state = cut(state)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     capacity = max(1, total // shards)
+    held = [0] * shards
+    large = F.col("n") * 8 > capacity
+
+    def deal(part: DataFrame) -> DataFrame:
+        """Adds shard: a share of the rows for each shard in proportion to its room."""
+        room, count = [q - n for q, n in zip(quota, held)], part.count()
+        ends = [sum(room[: s + 1]) * count // max(1, sum(room)) for s in range(shards)]
+        spans = spark.createDataFrame(list(zip(range(shards), [0, *ends], ends)), "shard int, lo long, hi long")
+        rank = ranked(part.select(*names), [], ["h", "id"], "r", buckets)
+        return rank.join(F.broadcast(spans), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).select(*names, "shard")
 
     def load(df: DataFrame) -> list[int]:
-        held = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
-        return [held.get(s, 0) for s in range(shards)]
+        found = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
+        return [found.get(s, 0) for s in range(shards)]
 
-    held = load(state)
-    linked = sum(held)
-    for turn in range(1, rounds + 1):
-        free = [q - n for q, n in zip(quota, held)]
-        open_shards = [s for s in range(shards) if free[s] > 0]
-        if not linked or not open_shards:
-            break
-        asking = _requests(state, capacity, open_shards, turn, linked)
-        counted = asking.where("to is not null").groupBy("to", "prio", "piece").count().collect()
-        granted = []
-        for r in sorted(counted, key=lambda r: (-r["prio"], r["piece"], r["to"])):
-            if r["count"] <= free[r["to"]]:
-                free[r["to"]] -= r["count"]
-                granted.append((r["to"], r["prio"], r["piece"], True))
-        if not granted:
-            break
-        # at most shards x 40 x SLICES rows
-        grants = F.broadcast(spark.createDataFrame(granted, "to int, prio int, piece int, granted boolean"))
-        state = asking.join(grants, ["to", "prio", "piece"], "left").select(
-            *names, F.when(F.col("granted"), F.col("to")).otherwise(F.col("shard")).alias("shard")
-        )
-        state = cut(state)
-        held = load(state)
+    settled = []
+    for tier in (large, ~large):
+        state = cut(deal(rows.where(F.col("n").isNotNull() & tier)))
+        own = load(state)
+        for turn in range(1, rounds + 1):
+            free = [q - h - n for q, h, n in zip(quota, held, own)]
+            open_shards = [s for s in range(shards) if free[s] > 0]
+            if not sum(own) or not open_shards:
+                break
+            asking = _requests(state, capacity, open_shards, turn, sum(own))
+            counted = asking.where("to is not null").groupBy("to", "prio", "piece").count().collect()
+            granted = []
+            for r in sorted(counted, key=lambda r: (-r["prio"], r["piece"], r["to"])):
+                if r["count"] <= free[r["to"]]:
+                    free[r["to"]] -= r["count"]
+                    granted.append((r["to"], r["prio"], r["piece"], True))
+            if not granted:
+                break
+            # at most shards x 40 x SLICES rows
+            grants = F.broadcast(spark.createDataFrame(granted, "to int, prio int, piece int, granted boolean"))
+            state = asking.join(grants, ["to", "prio", "piece"], "left").select(
+                *names, F.when(F.col("granted"), F.col("to")).otherwise(F.col("shard")).alias("shard")
+            )
+            state = cut(state)
+            own = load(state)
+        settled.append(state.withColumn("linked", F.lit(True)))
+        held = [h + n for h, n in zip(held, own)]
 
-    starts, at = [], 0
-    for s in range(shards):
-        starts.append((s, at, at + quota[s] - held[s], held[s]))
-        at += quota[s] - held[s]
-    gaps = F.broadcast(spark.createDataFrame(starts, "to int, lo long, hi long, held long"))
-    loose = ranked(rows.where("n is null").select(*names), [], ["h", "id"], "r", buckets)
-    loose = loose.join(gaps, (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).select(
-        *names, F.col("to").alias("shard"), (F.col("r") - F.col("lo") + F.col("held")).alias("slot"), F.lit(False).alias("linked")
-    )
-    tied = ranked(state, ["shard"], ["h", "id"], "slot", buckets).select(
-        *names, "shard", "slot", F.lit(True).alias("linked")
-    )
-    return tied.unionByName(loose).select(
+    loose = deal(rows.where("n is null")).withColumn("linked", F.lit(False))
+    dealt = cut(settled[0].unionByName(settled[1]).unionByName(loose))
+    return ranked(dealt, ["shard"], ["h", "id"], "slot", buckets).select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
-        F.col("slot").cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "linked",
     )
