@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     exact: no link is lost, none is added.
 
     Returned, one row for each row: the id, fingerprint (hex), component_id (smallest id that links reach, nulls
-    aside), row_key (hash of id and text). Null and empty texts and those of white space have fingerprint 0 and
+    aside), row_key (hash of id and text), group (the component's smallest fingerprint as a number; unlike ids,
+    which rows may share, it tells components apart). Null and empty texts and those of white space have fingerprint 0 and
     link like any other.
     """
     rows = cut(
@@ -186,19 +187,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
     )
     least = cut(whose.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("prints")))
-    whose = cut(attach(whose, least, ["root"], "prints", whose.count()).select("fp", "n", "component"))
+    whose = cut(attach(whose, least, ["root"], "prints", whose.count()).select("fp", "n", "component", "root"))
     return attach(rows, whose, ["fp"], "n", rows.count()).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
         "row_key",
+        F.col("root").alias("group"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the smallest id stays, of its repetitions one row."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    stay = found.groupBy("component_id").agg(
+    stay = found.groupBy("group").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_key")).alias("best")
     )
     stay = cut(stay.select(F.col("best.row_key").alias("__key")).distinct())
