@@ -73,8 +73,8 @@ def test_label_model_finds_classes_without_labels():
     rates = [(0.6, 0.01), (0.5, 0.02), (0.4, 0.005), (0.7, 0.03)]
     votes = np.stack([rng.random(4000) < np.where(truth, a, b) for a, b in rates], axis=1)
     votes = np.hstack([votes, votes[:, :1]])  # one voter repeats another
-    posterior = label_model(votes, 0.1)
-    assert ((posterior > 0.5) == truth).mean() > 0.96
+    right = lambda guess: (guess == truth).mean()
+    assert right(label_model(votes, 0.1) > 0.5) > max([right(votes.any(axis=1)), *(right(v) for v in votes.T)]) + 0.01
 
 
 # ---- Katz
