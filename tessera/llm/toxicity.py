@@ -101,30 +101,35 @@ class Voters:
         return votes, sorted(terms), hits
 
 
+def shared_evidence(votes: np.ndarray, posterior: np.ndarray, rates: tuple, least: float) -> np.ndarray:
+    """For each voter, one over the sum of its correlations, given the class, that reach `least` (itself: 1)."""
+    together = np.zeros((votes.shape[1], votes.shape[1]))
+    for weight, rate in zip((posterior, 1 - posterior), rates):
+        centred = votes - rate
+        cov = (centred * weight[:, None]).T @ centred / (weight.sum() + 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-3))
+        together = np.maximum(together, cov / np.outer(sd, sd))
+    np.fill_diagonal(together, 1)
+    return 1 / np.where(together >= least, together, 0).sum(axis=1)
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """Posterior of the positive class for each row of votes, with no label used.
 
     A two-class model with a firing rate of each voter in each class, fitted by expectation maximisation from the
     majority vote; voters are taken to be better than chance. Voters that fire together within a class say the
-    same thing: correlations, given the class, are then estimated pair by pair, and in the posterior that is
-    returned a voter's log odds are divided by the sum of its positive ones.
+    same thing, so a voter's log odds are divided by the sum of its correlations: near copies (0.9 and more) from
+    the first guess on, as they would form the classes by themselves, all others (0.1 and more) in the posterior
+    that is returned, when the classes have settled.
     """
     v = votes.astype(float)
     posterior = np.where(v.any(axis=1), 0.9, prior / 10)
-    discount = np.ones(v.shape[1])
     for turn in range(rounds + 1):
         share = np.clip(posterior.mean(), 1e-3, 0.5)
         pos = np.clip((posterior @ v + 0.1) / (posterior.sum() + 1), 1e-3, 1 - 1e-3)
         neg = np.clip(((1 - posterior) @ v + 0.01) / ((1 - posterior).sum() + 1), 1e-5, pos)
-        if turn == rounds:
-            together = np.zeros((v.shape[1], v.shape[1]))
-            for weight, rate in ((posterior, pos), (1 - posterior, neg)):
-                centred = v - rate
-                cov = (centred * weight[:, None]).T @ centred / (weight.sum() + 1)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-3))
-                together = np.maximum(together, cov / np.outer(sd, sd))
-            np.fill_diagonal(together, 1)
-            discount = 1 / np.where(together > 0.1, together, 0).sum(axis=1)
+        if turn in (0, rounds):
+            discount = shared_evidence(v, posterior, (pos, neg), 0.1 if turn else 0.9)
         fired, silent = np.log(pos / neg), np.log((1 - pos) / (1 - neg))
         margin = np.log(share / (1 - share)) + v @ (discount * fired) + (1 - v) @ (discount * silent)
         posterior = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
