@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: What counts as white space in every word-based contract here.
@@ -103,7 +102,3 @@ def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, to
     rest = tagged.where(F.col(weight).isNull()).drop(*added)
     light = rest.join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
     return tagged.where(F.col(weight).isNotNull()).unionByName(light)
-
-
-def schema_of(df: DataFrame, names: list[str]) -> T.StructType:
-    return T.StructType([df.schema[n] for n in names])
