@@ -71,7 +71,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, bucket
     Rows are dealt to hash buckets of their order columns; bucket counts (groups x buckets rows) give each
     bucket's offset, so that no group is ever sorted in one task. df must be cheap to compute twice.
     """
-    df = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit("rank")), F.lit(buckets)).cast("int"))
+    df = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(rank)), F.lit(buckets)).cast("int"))
     counts = df.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
