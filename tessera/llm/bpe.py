@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import packed, text_of, unpacked
 
 FAR = 1 << 60
+FAN = 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -24,55 +25,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece: the leftmost pair of the smallest rank merges until no pair has a rank.
 
-    Leaf i of the tree holds the rank of the pair that begins at byte i (FAR: none, or i begins no token). A merge
-    kills the right token, so it changes the leaves of the merged token, of the token before it and of the dead
-    one: three updates of logarithmic cost, and the root always names the next merge.
+    Leaf i of the tree holds the rank of the pair that begins at byte i (FAR: none, or i begins no token); a node
+    holds the least of its FAN children, so a short piece is one node. The root names the least rank, the way down
+    its leftmost leaf. A merge kills the right token, so it changes the leaves of the merged token, of the token
+    before it and of the dead one: three updates of logarithmic cost.
     """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get = len(piece), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    width = 1
-    while width < n:
-        width *= 2
-    tree = [FAR] * (2 * width)
-    get = ranks.get
-    for i in range(n - 1):
-        tree[width + i] = get(piece[i : i + 2], FAR)
-    for i in range(width - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
-
-    def put(leaf: int, rank: int) -> None:
-        i = width + leaf
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    def pair(left: int) -> int:
-        right = after[left]
-        return get(piece[left : after[right]], FAR) if right < n else FAR
-
-    while tree[1] < FAR:
-        least, i = tree[1], 1
-        while i < width:
-            i = 2 * i if tree[2 * i] == least else 2 * i + 1
-        left = i - width
+    leaves = [get(piece[i : i + 2], FAR) for i in range(n - 1)] + [FAR]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, inner = levels[-1], levels[-2::-1] if len(levels) > 1 else ()
+    while (least := min(top)) < FAR:
+        left = top.index(least)
+        for level in inner:
+            left = level.index(least, left * FAN)
         dead = after[left]
-        after[left] = after[dead]
-        if after[dead] < n:
-            before[after[dead]] = left
-        put(dead, FAR)
-        put(left, pair(left))
-        if before[left] >= 0:
-            put(before[left], pair(before[left]))
+        right = after[left] = after[dead]
+        earlier = before[left]
+        leaves[dead] = FAR
+        if right < n:
+            before[right] = left
+            leaves[left] = get(piece[left : after[right]], FAR)
+        else:
+            leaves[left] = FAR
+        if earlier >= 0:
+            leaves[earlier] = get(piece[earlier:right], FAR)
+        if inner:
+            for i in {dead // FAN, left // FAN, max(earlier, 0) // FAN}:
+                for below, level in zip(levels, levels[1:]):
+                    level[i] = min(below[i * FAN : (i + 1) * FAN])
+                    i //= FAN
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -81,22 +69,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one worker. Pieces of up to 64 bytes are remembered, a bounded number of them."""
+    """Encoder and decoder of one worker. The last short pieces are remembered, at most twice `remembered`."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         import regex
 
         self.ranks, self.split, self.limit = ranks, regex.compile(pattern).findall, remembered
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def piece(self, piece: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids written down, and the bytes they decode to."""
-        ids = merge(piece.encode("utf-8"), self.ranks)
-        found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older = self.known
+
+    def piece(self, piece: str) -> tuple[str, bytes]:
+        """The ids written down, and the bytes they decode to."""
+        found = self.older.get(piece)
+        if found is None:
+            ids = merge(piece.encode("utf-8"), self.ranks)
+            found = (" ".join(map(str, ids)), self.decode(ids))
         if len(piece) <= 64:
             if len(self.known) >= self.limit:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[piece] = found
         return found
 
@@ -109,11 +100,12 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         from hashlib import sha256
 
-        known, piece = self.known, self.piece
-        found = [known.get(p) or piece(p) for p in self.split(text)]
-        ids = " ".join([x[1] for x in found])
-        back = b"".join([x[2] for x in found])
-        return sum([x[0] for x in found]), sha256(ids.encode()).hexdigest(), sha256(back).hexdigest()
+        get, piece = self.known.get, self.piece
+        found = [get(p) or piece(p) for p in self.split(text)]
+        ids = " ".join([x[0] for x in found])
+        back = b"".join([x[1] for x in found])
+        count = ids.count(" ") + 1 if found else 0
+        return count, sha256(ids.encode()).hexdigest(), sha256(back).hexdigest()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
