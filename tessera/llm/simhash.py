@@ -197,9 +197,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component the smallest id stays, of its repetitions one row."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None
+) -> DataFrame:
+    """The documents without near-duplicates: of each component the smallest id stays, of its repetitions one row.
+
+    Links are those of the fingerprints or, with a `similarity`, all pairs whose shingles have that Jaccard similarity.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    else:
+        from tessera.llm.set_join import similar_documents
+
+        found = similar_documents(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     stay = found.groupBy("group").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_key")).alias("best")
     )
