@@ -11,9 +11,9 @@ SLICES = 64
 
 
 def _requests(state: DataFrame, capacity: int, open_shards: list[int], turn: int, linked: int) -> DataFrame:
-    """The state with, for each document that wants to move, where to (to), how much it gains (prio), its slice."""
+    """The state with, for each document that wants to move, where to (to), how much it gains (prio), its place (piece)."""
     counts = state.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")
+    entry = F.struct("n", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")
     hubs = counts.groupBy("hub").agg(F.sort_array(F.collect_list(entry), asc=False).alias("held"), F.sum("n").alias("hub_n"))
     scattered = hubs.where(F.size("held") > 1)
     room_in = F.array(*[F.lit(s) for s in open_shards])
@@ -41,22 +41,71 @@ def _requests(state: DataFrame, capacity: int, open_shards: list[int], turn: int
     goal = F.get("goals", F.pmod(F.xxhash64("h", F.lit(turn)), F.greatest(F.size("goals"), F.lit(1))).cast("int"))
     # a hub that is small against a shard moves as a whole, a large one in slices of its documents
     whole = F.col("hub_n") * SLICES <= capacity
-    piece = F.pmod(F.when(whole, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("h", F.lit(-turn))), F.lit(SLICES))
+    piece = F.when(whole, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("h", F.lit(-turn)))
     return cut(
         joined.withColumn("goal", F.when(F.col("own_n").isNotNull(), goal)).select(
             *state.columns,
             F.col("goal.to").alias("to"),
             F.floor(F.log2(F.col("goal.gain") + 1)).cast("int").alias("prio"),
-            F.when(F.col("goal").isNotNull(), piece).cast("int").alias("piece"),
+            F.when(F.col("goal").isNotNull(), piece).alias("piece"),
         )
     )
 
 
+def grants_of(asked: dict[tuple[int, int, int], int], free: list[int]) -> dict[tuple[int, int, int], int]:
+    """How many of the asked moves (from, to, prio) are granted, so that no shard exceeds its quota.
+
+    Moves into free room come first, by gain; each leaves room behind. Then equal counts go around cycles of
+    shards, exchanges between two first, until no cycle is left: full shards swap and keep their counts.
+    """
+    left, free, granted = dict(asked), list(free), {}
+    ways = {}
+    for way in sorted(asked, key=lambda w: -w[2]):
+        ways.setdefault(way[:2], []).append(way)
+
+    def grant(a: int, b: int, n: int) -> None:
+        for way in ways[a, b]:
+            k = min(n, left[way])
+            left[way] -= k
+            granted[way] = granted.get(way, 0) + k
+            n -= k
+
+    moved = True
+    while moved:
+        moved = False
+        for a, b, prio in sorted(asked, key=lambda w: (-w[2], w[1], w[0])):
+            k = min(left[a, b, prio], free[b])
+            if k > 0:
+                left[a, b, prio] -= k
+                granted[a, b, prio] = granted.get((a, b, prio), 0) + k
+                free[a], free[b], moved = free[a] + k, free[b] - k, True
+    open_ways = lambda: {e: n for e, w in ways.items() if (n := sum(left[x] for x in w))}
+    now = open_ways()
+    for a, b in now:
+        if a < b and (b, a) in now:
+            k = min(now[a, b], now[b, a])
+            grant(a, b, k), grant(b, a, k)
+    while True:
+        now = open_ways()
+        nodes = {x for e in now for x in e}
+        while ends := [x for x in nodes if not any(a == x and b in nodes for a, b in now)]:
+            nodes -= set(ends)
+        if not nodes:
+            return {w: n for w, n in granted.items() if n}
+        path = [min(nodes)]  # every node left has a way on, so the path comes back to itself
+        while (step := max((b for a, b in now if a == path[-1] and b in nodes), key=lambda b: now[path[-1], b])) not in path:
+            path.append(step)
+        cycle = path[path.index(step) :] + [step]
+        k = min(now[e] for e in zip(cycle, cycle[1:]))
+        for a, b in zip(cycle, cycle[1:]):
+            grant(a, b, k)
+
+
 def shard_documents(
     docs: DataFrame,
     *,
     shards: int = 24,
-    rounds: int = 10,
+    rounds: int = 60,
     id_col: str = "doc_id",
     text_col: str = "text",
     hub: Column | None = None,
@@ -66,8 +115,8 @@ def shard_documents(
     Documents with an equal, not null `hub` value are linked (default: equal texts), every one with every other.
     Linked documents start dealt out evenly over the room that shards have. In each round every hub names the shards
     where it is strongest and that have room (one, or as many as its size needs), and its documents elsewhere ask
-    to move there. Requests are counted by (goal, gain, slice), at most shards x 40 x 64 numbers; each shard accepts
-    the largest gains first while they fit its quota. Large hubs gather first, then the small ones in the room left;
+    to move there. Requests are counted by (from, goal, gain), at most shards x shards x 40 numbers; each shard accepts
+    the largest gains first while they fit its quota, and full shards exchange equal counts. Large hubs gather first, then the small ones in the room left;
     unlinked documents cut no edge, so they fill the shards up at the end. Rounds end early when nobody moves.
     Links are never expanded into pairs.
 
@@ -113,25 +162,30 @@ def shard_documents(
     for tier in (large, ~large):
         state = cut(deal(rows.where(F.col("n").isNotNull() & tier)))
         own = load(state)
+        idle = 0
         for turn in range(1, rounds + 1):
             free = [q - h - n for q, h, n in zip(quota, held, own)]
-            open_shards = [s for s in range(shards) if free[s] > 0]
-            if not sum(own) or not open_shards:
+            with_room = [s for s in range(shards) if free[s] > 0]
+            # every other turn any shard may be named, as full shards exchange
+            narrow = turn % 2 == 1 and bool(with_room)
+            if not sum(own):
                 break
-            asking = _requests(state, capacity, open_shards, turn, sum(own))
-            counted = asking.where("to is not null").groupBy("to", "prio", "piece").count().collect()
-            granted = []
-            for r in sorted(counted, key=lambda r: (-r["prio"], r["piece"], r["to"])):
-                if r["count"] <= free[r["to"]]:
-                    free[r["to"]] -= r["count"]
-                    granted.append((r["to"], r["prio"], r["piece"], True))
+            asking = _requests(state, capacity, with_room if narrow else list(range(shards)), turn, sum(own))
+            counted = asking.where("to is not null").groupBy("shard", "to", "prio").count().collect()
+            granted = grants_of({(r["shard"], r["to"], r["prio"]): r["count"] for r in counted}, free)
             if not granted:
+                # ties fall another way each turn, so rounds end when several turns in a row grant nothing
+                idle += 1
+                if idle < 4:
+                    continue
                 break
-            # at most shards x 40 x SLICES rows
-            grants = F.broadcast(spark.createDataFrame(granted, "to int, prio int, piece int, granted boolean"))
-            state = asking.join(grants, ["to", "prio", "piece"], "left").select(
-                *names, F.when(F.col("granted"), F.col("to")).otherwise(F.col("shard")).alias("shard")
-            )
+            idle = 0
+            # at most shards x shards x 40 rows
+            grants = spark.createDataFrame([(*w, n) for w, n in granted.items()], "shard int, to int, prio int, most long")
+            moving = ranked(asking.where("to is not null"), ["shard", "to", "prio"], ["piece"], "place", SLICES)
+            moving = moving.join(F.broadcast(grants), ["shard", "to", "prio"], "left")
+            moving = moving.select(*names, F.when(F.col("place") < F.col("most"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+            state = asking.where("to is null").select(*names, "shard").unionByName(moving)
             state = cut(state)
             own = load(state)
         settled.append(state.withColumn("linked", F.lit(True)))
