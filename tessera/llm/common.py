@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.storage import cut, drop, new_path, scratch, store  # noqa: F401
+
 #: What counts as white space in every word-based contract here.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1000  # a key with more than 1/HEAVY of the rows joins by broadcast; there are fewer than HEAVY of them
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Without one, only a local master may use /tmp."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints/tessera"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and forget its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def store(df: DataFrame, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """Write df as a compressed Parquet table in the shared folder; the session deletes it when it ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def unstore(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
 def packed(names: list[str]) -> Column:
     """The caller's columns as one struct, so that no name of theirs can clash with ours."""
-    return (F.struct(*[F.col(f"`{n}`") for n in names]) if names else F.lit(None).cast("struct<>")).alias("__row")
+    return (F.struct(*[F.col(f"`{n}`") for n in names]) if names else F.lit(None).cast("string")).alias("__row")
 
 
 def unpacked(names: list[str]) -> list[Column]:
@@ -95,10 +62,22 @@ def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, to
     """rows left-joined with a summary of one row a key, where `weight` counts the rows of that key.
 
     Fewer than HEAVY keys can hold more than 1/HEAVY of all rows: these are broadcast, and only rows of lighter
-    keys shuffle, so that no task gets a large group.
+    keys shuffle, so that no task gets a large group. Rows with a null in a key match nothing and stay where they are.
     """
     added = [c for c in summary.columns if c not in keys]
     tagged = rows.join(F.broadcast(summary.where(F.col(weight) * HEAVY > total)), keys, "left")
     rest = tagged.where(F.col(weight).isNull()).drop(*added)
-    light = rest.join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
-    return tagged.where(F.col(weight).isNotNull()).unionByName(light)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    light = rest.where(whole).join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
+    none = rest.where(~whole).select("*", *[F.lit(None).cast(summary.schema[c].dataType).alias(c) for c in added])
+    return tagged.where(F.col(weight).isNotNull()).unionByName(light).unionByName(none)
+
+
+def numbered(docs: DataFrame, carry: list[str], columns: list[Column]) -> DataFrame:
+    """The carried columns as one struct, further columns and a row number __uid (unique, with gaps), stored once.
+
+    Decisions are then made on narrow columns of the table and brought back by __uid.
+    """
+    return store(docs.select(packed(carry), *columns, F.monotonically_increasing_id().alias("__uid")))

@@ -356,14 +356,14 @@ def score_documents(
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     binaries = ", ".join(f"{c} binary" for c in ("lengths", "tokens", "words", "seen", "trained"))
-    blocks, _ = store(rows.mapInPandas(encode_blocks, f"block string, ids array<{kind}>, held array<boolean>, {binaries}"))
+    blocks = store(rows.mapInPandas(encode_blocks, f"block string, ids array<{kind}>, held array<boolean>, {binaries}"))
     n_blocks = blocks.count()
     bits = max(4, math.ceil(math.log2(max(1, n_blocks))))
 
     asked = blocks.select("block", "words", "trained").mapInPandas(
         word_questions(bits), "bucket int, hashes binary, counts binary, block string"
     )
-    words, _ = store(asked.groupBy("bucket").applyInPandas(count_words(bits), WORD_TABLE))
+    words = store(asked.groupBy("bucket").applyInPandas(count_words(bits), WORD_TABLE))
     release(spark)
     zeros = [0] * (CUTOFF + 1)
 
@@ -383,12 +383,12 @@ def score_documents(
             "bucket int, h binary, degree binary, w binary, w_counts binary, counts binary, block string",
         )
     )
-    pairs, _ = store(questions.groupBy("bucket").applyInPandas(count_pairs(bases), PAIR_TABLE))
+    pairs = store(questions.groupBy("bucket").applyInPandas(count_pairs(bases), PAIR_TABLE))
     release(spark)
     ratio = discounts(summed(pairs))
 
     model = pairs.where("block is null").select("bucket", "histories", "spread", "lower")
-    weights, _ = store(
+    weights = store(
         answers.select("block", "bucket", "word_ids")
         .groupBy("bucket")
         .cogroup(model.groupBy("bucket"))
