@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE, packed, text_of, unpacked
+from tessera.llm.common import SPACE, cut, numbered, text_of, unpacked
 
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -21,63 +20,48 @@ def exact_dedup(
 ) -> DataFrame:
     """Marks, in each group of texts equal but for white space, the one row that stays.
 
-    Misra-Gries counters (at most 1/support of them, kept per partition and merged) name every digest that can
-    hold more than that share of the rows. Their exact sizes and winners are computed by a map-side combining
-    aggregate over them alone and broadcast (at most 1/support rows): rows of frequent digests never shuffle,
-    and what shuffles holds no group above that share.
+    Texts are read and digested once, into a table of the carried columns, lengths, digests and row numbers; what
+    follows reads its narrow columns. Misra-Gries counters (at most 1/support of them, kept per partition and
+    merged) name every digest that can hold more than that share of the rows. Their exact sizes and winners come
+    from a map-side combining aggregate over them alone and are broadcast (at most 1/support rows), so that rows of
+    frequent digests never shuffle; the other digests are aggregated and joined by ordinary shuffling.
 
     Returned: the carried columns (default: all) and keep_id, group_size, kept, text_sha256, which replace input
     columns of these names. The row with the most code points stays, then the smallest id, null ids last. Of
-    repeated rows exactly one is kept. A null text counts as empty; an empty table gives an empty result.
+    repeated rows exactly one, the first by row number, is kept: minima choose it, so a group is never gathered. A
+    null text counts as empty; an empty table gives an empty result.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
     text = text_of(text_col)
-    rows = docs.select(
-        packed(carry),
-        F.col(id_col).alias("__id"),
-        F.char_length(text).alias("__len"),
-        F.unhex(F.sha2(F.regexp_replace(text, f"{SPACE}+", ""), 256)).alias("__digest"),
+    rows = numbered(
+        docs,
+        carry,
+        [
+            F.col(id_col).alias("__id"),
+            F.char_length(text).alias("__len"),
+            F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("__digest"),
+        ],
     )
-    # longest first, then null ids last, then the smallest id
-    better = F.struct(-F.col("__len"), F.col("__id").isNull(), F.col("__id"))
-
-    frequent = rows.select(F.hex("__digest").alias("d")).freqItems(["d"], support)
+    keys = rows.drop("__row")
+    frequent = keys.select(F.hex("__digest").alias("d")).freqItems(["d"], support)
     suspects = frequent.select(F.explode("d_freqItems").alias("d")).select(F.unhex("d").alias("__digest"))
-    winners = (
-        rows.drop("__row")
-        .join(F.broadcast(suspects), "__digest")
-        .groupBy("__digest")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(better).alias("__best"))
-        .where("__n > 1")
-        .select("__digest", "__n", F.col("__best.__id").alias("__keep"), (-F.col("__best.col1")).alias("__most"))
-    )
-    tagged = rows.join(F.broadcast(winners), "__digest", "left")
+    # longest first, then null ids last, then the smallest id, then the first of repeated rows
+    better = F.struct((-F.col("__len")).alias("l"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__uid").alias("u"))
 
-    is_best = F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__len") == F.col("__most"))
-    heavy = tagged.where("__n is not null")
-    losers = heavy.where(~is_best).withColumn("__kept", F.lit(False))
-    # only repetitions of the winning row itself meet here
-    once = Window.partitionBy("__digest").orderBy("__len")
-    best = heavy.where(is_best).withColumn("__kept", F.row_number().over(once) == 1)
+    def sizes(of: DataFrame) -> DataFrame:
+        return of.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"), F.min(better).alias("__best"))
 
-    group = Window.partitionBy("__digest")
-    ordered = group.orderBy(F.col("__len").desc(), F.col("__id").asc_nulls_last())
-    light = (
-        tagged.where("__n is null")
-        .withColumn("__kept", F.row_number().over(ordered) == 1)
-        .withColumn("__keep", F.first("__id").over(ordered))
-        .withColumn("__n", F.count(F.lit(1)).over(group))
-    )
-    return (
-        light.unionByName(losers)
-        .unionByName(best)
-        .select(
-            *unpacked(carry),
-            F.col("__keep").alias("keep_id"),
-            F.col("__n").alias("group_size"),
-            F.col("__kept").alias("kept"),
-            F.lower(F.hex("__digest")).alias("text_sha256"),
-        )
+    # at most 1/support rows
+    winners = cut(sizes(keys.join(F.broadcast(suspects), "__digest")))
+    heavy = rows.join(F.broadcast(winners), "__digest")
+    light = rows.join(F.broadcast(winners.select("__digest")), "__digest", "left_anti")
+    light = light.join(sizes(keys.join(F.broadcast(winners.select("__digest")), "__digest", "left_anti")), "__digest")
+    return heavy.unionByName(light).select(
+        *unpacked(carry),
+        F.col("__best.i").alias("keep_id"),
+        F.col("__n").alias("group_size"),
+        (F.col("__uid") == F.col("__best.u")).alias("kept"),
+        F.lower(F.hex("__digest")).alias("text_sha256"),
     )
 
 

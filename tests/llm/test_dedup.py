@@ -56,6 +56,13 @@ def test_exact_dedup_repeated_winner_of_a_frequent_group(documents):
     assert len(got) == 100 and sum(r["kept"] for r in got) == 1
 
 
+def test_exact_dedup_null_ids_of_one_frequent_text(documents):
+    rows = [(None, "hot")] * 200 + [(2**53 + 1, "cold"), (None, "cold"), (2**53 + 3, "other")]
+    got = exact_dedup(documents(rows), carry=["doc_id"]).collect()
+    assert sum(r["kept"] for r in got if r["group_size"] == 200) == 1
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in got if r["doc_id"]) == [(2**53 + 1, 2**53 + 1, True), (2**53 + 3, 2**53 + 3, True)]
+
+
 def test_exact_dedup_clashing_names_and_empty(documents, clashing):
     got = exact_dedup(clashing(documents([(1, "a"), (2, "a ")])))
     assert [(r["doc_id"], r["hub"], r["fp"]) for r in got.where("kept").collect()] == [(2, "x", "x")]
