@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 import re
@@ -80,64 +79,95 @@ def test_label_model_finds_classes_without_labels():
 # ---- Katz
 
 
-def brute_katz(rows, held):
+def good_turing(counts):
+    """Ratios r*/r of counts 1..5, scaled so that what is taken away is the Good-Turing mass of the unseen."""
+    n = Counter(counts)
+    common = 6 * n[6] / n[1] if n[1] else 1.0
+    out = {}
+    for r in range(1, 6):
+        star = (r + 1) * n[r + 1] / n[r] if n[r] and common < 1 else 0.0
+        d = (star / r - common) / (1 - common) if star else 0.0
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
+    return out
+
+
+def brute_katz(rows, held, order):
+    """P(w|h) by recursion over plain dictionaries of counts."""
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + ["\n"] for _, t in rows]
-    uni, bi = Counter(), Counter()
-    for w, h in zip(tokens, held):
-        if not h:
-            uni.update(w)
-            bi.update(zip(["\t"] + w[:-1], w))
+    padded = [["\t"] * (order - 1) + w for w in tokens]
+    follow = [defaultdict(Counter) for _ in range(order)]
+    for w, h in zip(padded, held):
+        for i in range(order - 1, len(w) if not h else 0):
+            for k in range(order):
+                follow[k][tuple(w[i - k : i])][w[i]] += 1
+    ratios = [good_turing([c for f in t.values() for c in f.values()]) for t in follow]
+    memory = {}
+
+    def kept(k, r):
+        return r * ratios[k].get(r, 1.0)
+
+    def history(h):
+        if h not in memory:
+            k, f = len(h), follow[len(h)].get(h, {})
+            n, left = sum(f.values()), math.fsum(kept(k, r) for r in f.values())
+            divisor = n if left < n - 1e-9 else n + 1
+            below = math.fsum(p(w, h[1:]) for w in f) if k else 0.0
+            memory[h] = divisor, (1 - left / divisor) / (1 - below)
+            if k and f:
+                assert math.fsum(kept(k, r) / divisor for r in f.values()) + memory[h][1] * (1 - below) == pytest.approx(1)
+        return memory[h]
+
+    def p(w, h):
+        k, r = len(h), follow[len(h)].get(h, {}).get(w, 0)
+        divisor, weight = history(h)
+        if r:
+            return kept(k, r) / divisor
+        return weight * (p(w, h[1:]) if k else 1.0)
+
+    uni = follow[0][()]
     total, types = sum(uni.values()), len(uni)
-
-    def ratios(c):
-        n = Counter(c.values())
-        return katz.discounts([n[r] for r in range(1, 7)])
-
-    d1, d2 = ratios(uni), ratios(bi)
-    kept = lambda r, d: r * (d[r] if r <= 5 else 1)
-    lost = sum(r - kept(r, d1) for r in uni.values())
-    base = total if lost > 1e-9 else total + 1
-    p1 = {w: kept(r, d1) / base for w, r in uni.items()}
-    unknown = 1 - math.fsum(p1.values())
-    follow = defaultdict(dict)
-    for (h, w), r in bi.items():
-        follow[h][w] = r
-    alpha, divisor = {}, {}
-    for h, f in follow.items():
-        n, k = sum(f.values()), sum(kept(r, d2) for r in f.values())
-        divisor[h] = n if k < n - 1e-9 else n + 1
-        alpha[h] = (1 - k / divisor[h]) / (1 - math.fsum(p1[w] for w in f))
-        assert math.fsum(kept(r, d2) / divisor[h] for r in f.values()) + alpha[h] * (1 - math.fsum(p1[w] for w in f)) == pytest.approx(1)
     out = []
-    for (i, _), w, h in zip(rows, tokens, held):
-        score = 0.0
-        for a, b in zip(["\t"] + w[:-1], w):
-            r = follow.get(a, {}).get(b, 0)
-            score += math.log10(kept(r, d2) / divisor[a] if r else alpha.get(a, 1.0) * p1.get(b, unknown))
+    for (i, _), w, pad, h in zip(rows, tokens, padded, held):
+        score = math.fsum(math.log10(p(pad[j], tuple(pad[j - order + 1 : j]))) for j in range(order - 1, len(pad)))
         plain = sum(math.log10((uni[t] + 0.5) / (total + 0.5 * (types + 1))) for t in w)
         out.append((i, h, len(w), sum(uni[t] > 0 for t in w), total, round(plain, 6), round(score, 6)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 700])
-def test_katz(documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "fan_bits", "order"), [(2_000_000, 8, 2), (700, 8, 3), (400, 1, 2), (200, 2, 1)])
+def test_katz(documents, monkeypatch, block, fan_bits, order):
     random.seed(9)
     pool = [f"w{int(random.expovariate(0.05))}" for _ in range(400)] + ["É", "é", "ABC", "abc"]
     rows = [(i, " ".join(random.choices(pool, k=random.randrange(0, 60)))) for i in range(120)]
-    rows += [(200, None), (201, ""), (202, "never seen words here"), (203, "w1 " * 5000), (3, rows[3][1]), (None, "w1 w2"), (204, "a b\x0bc")]
+    rows += [(200, None), (201, ""), (202, "never seen words here"), (203, "w1 " * 5000), (3, rows[3][1]), (None, "w1 w2"), (204, "a b\x0bc")]
+    rows += [(2**53 + 1, "w3 w4"), (2**53 + 3, "w5")]
     held = [crc(i) % 5 == 1 for i, _ in rows]
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
-    got = katz.score_documents(documents(rows, 4).withColumn("score", F.lit(1)))
+    monkeypatch.setattr(katz, "FAN_BITS", fan_bits)
+    got = katz.score_documents(documents(rows, 4).withColumn("score", F.lit(1)), order=order, block_tokens=block)
     got = [(r[0], r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in got.collect()]
-    want = brute_katz(rows, held)
+    want = brute_katz(rows, held, order)
     got.sort(key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-5)
 
 
+def test_rows_of_the_exchange_do_not_grow_with_the_blocks():
+    for blocks in (1, 100, 10_000, 1_000_000, 100_000_000):
+        bits, groups = katz.fan(blocks)
+        assert bits <= 8 and groups[-1] == 1 and len(groups) <= 4
+        assert all(a <= b << bits for a, b in zip([blocks, *groups], groups))
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (katz.unpack_hashes(katz.pack_hashes(hashes), len(hashes)) == hashes).all()
+    for values in (np.array([], dtype=np.int64), np.array([0, 1, 255]), np.array([2**40, 3]), rng.random(9)):
+        assert (katz.unpack(katz.pack(values)) == values).all()
+
+
 def test_katz_without_training_or_rows(documents):
     rows = [(1, "a b"), (2, None)]
     got = katz.score_documents(documents(rows), held_out=F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in got) and len(got) == 2
     assert katz.score_documents(documents(rows).limit(0)).count() == 0
-    assert hashlib.sha256(b"").hexdigest()
