@@ -158,19 +158,21 @@ def fan(blocks: int) -> tuple[int, list[int]]:
     return bits, groups
 
 
-def exchange(asked: DataFrame, bits: int, groups: list[int]) -> DataFrame:
+def exchange(asked: DataFrame, bits: int, groups: list[int], tasks: int) -> DataFrame:
     """Answers to all questions, each with the sums over every asker of a hash, and whether this asker is its first.
 
     An asker speaks to at most 2^bits nodes and a node to as many, whatever the number of blocks: with more blocks the
     tree gets deeper, as nodes merge what they heard and pass it on, and answers come back the same way. Rows a block
     and the size of a task's group stay as they are.
     """
+    keys = ["kind", "prefix", "grp"]
+    by_node = lambda df: df.repartition(tasks, *keys).groupBy(*keys)
     heard_at = []
     for depth, more in enumerate(groups[1:], 1):
         asked = store(asked)
         heard_at.append(asked)
-        asked = asked.groupBy("kind", "prefix", "grp").applyInPandas(pass_up(depth * bits, bits, more), ASK)
-    answers = store(asked.groupBy("kind", "prefix", "grp").applyInPandas(settle, ANSWER))
+        asked = by_node(asked).applyInPandas(pass_up(depth * bits, bits, more), ASK)
+    answers = store(by_node(asked).applyInPandas(settle, ANSWER))
     for table in reversed(heard_at):
         stats = answers.where("stats is not null")
         down = table.groupBy("node").cogroup(answers.where("stats is null").withColumnRenamed("child", "node").groupBy("node"))
@@ -285,25 +287,37 @@ def encode_blocks(batches: Iterator[pd.DataFrame], block_tokens: int) -> Iterato
 class Level:
     """A block's distinct grams of one length, sorted: where each token's is (of), their histories and shorter grams."""
 
-    def __init__(self, grams: np.ndarray, histories: np.ndarray | None, shorter: np.ndarray | None):
-        self.grams, at, self.of = np.unique(grams, return_index=True, return_inverse=True)
-        if histories is not None:
-            self.histories, self.history_of = np.unique(histories[at], return_inverse=True)
-            self.shorter = shorter[at]
+    def __init__(self, grams: np.ndarray, of: np.ndarray):
+        self.grams, self.of = grams, of
+
+    def longer(self, words: np.ndarray, starts: np.ndarray, begin: np.uint64) -> Level:
+        """The grams that are one word longer; begin is the history of a document's first word."""
+        before = np.r_[self.of[:1], self.of[:-1]]
+        before[starts] = len(self.grams)
+        known = np.r_[self.grams, begin]
+        grams, at, of = np.unique(mix(known[before], words), return_index=True, return_inverse=True)
+        found = Level(grams, of)
+        found.shorter = self.of[at]
+        used = np.flatnonzero(np.bincount(before[at], minlength=len(known)))
+        used = used[np.argsort(known[used])]
+        place = np.empty(len(known), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        found.histories, found.history_of = known[used], place[before[at]]
+        return found
 
 
 class Block:
     def __init__(self, row: pd.Series, order: int):
         self.lengths, self.held = unpack(row["lengths"]), np.array(row["held"], dtype=bool)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        words = np.frombuffer(row["words"], dtype=np.uint64)[unpack(row["tokens"])]
-        self.levels = [Level(words, None, None)]
-        grams, begin = words, BEGIN_HASH
+        codes, hashes = unpack(row["tokens"]), np.frombuffer(row["words"], dtype=np.uint64)
+        by_hash = np.argsort(hashes)
+        place = np.empty(len(hashes), dtype=np.int64)
+        place[by_hash] = np.arange(len(hashes))
+        self.levels, begin = [Level(hashes[by_hash], place[codes])], BEGIN_HASH
         for _ in range(1, order):
-            before = np.r_[grams[:1], grams[:-1]]
-            before[self.starts] = begin
-            grams, begin = mix(before, words), mix(np.array([begin]), np.array([BEGIN_HASH]))[0]
-            self.levels.append(Level(grams, before, self.levels[-1].of))
+            self.levels.append(self.levels[-1].longer(hashes[codes], self.starts, begin))
+            begin = mix(np.array([begin]), np.array([BEGIN_HASH]))[0]
 
     def trained(self, level: Level) -> np.ndarray:
         weight = np.repeat(~self.held, self.lengths)
@@ -382,10 +396,15 @@ def score_block(order: int, counts: list[Counts]) -> Callable[..., pd.DataFrame]
     return score
 
 
-def bucketed(df: DataFrame, by: str) -> DataFrame:
+def tasks_for(rows: DataFrame, size: int) -> int:
+    """The session's number of shuffle partitions, or more if the texts' bytes need them at this size each."""
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(100_000, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // size))
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     """df as a bucketed table in the shared folder: grouping by the column needs no shuffle. The catalog forgets it."""
     spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark)).bucketBy(buckets, by).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
@@ -418,9 +437,10 @@ def score_documents(
     held = fold(id_col, 5) == 1 if held_out is None else held_out
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held"), text_of(text_col).alias("text"))
-    blocks = bucketed(rows.mapInPandas(lambda batches: encode_blocks(batches, block_tokens), BLOCK), "block")
+    tasks = tasks_for(rows, 64 << 20)
+    blocks = bucketed(rows.mapInPandas(lambda batches: encode_blocks(batches, block_tokens), BLOCK), "block", tasks)
     bits, groups = fan(blocks.count())
-    answers = exchange(blocks.mapInPandas(ask_grams(order, bits, groups[0]), ASK), bits, groups)
+    answers = exchange(blocks.mapInPandas(ask_grams(order, bits, groups[0]), ASK), bits, groups, tasks)
     release(spark)
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(CUTOFF + 3)]
     by_kind = {r["kind"]: list(r[1:]) for r in answers.where("stats is not null").groupBy("kind").agg(*sums).collect()}
@@ -433,7 +453,7 @@ def score_documents(
     by_block = blocks.groupBy("block")
     for k in range(2, order + 1):
         asked = by_block.cogroup(answers.groupBy("block")).applyInPandas(ask_histories(k, order, counts, bits, groups[0]), ASK)
-        answers = answers.unionByName(to_blocks(exchange(asked, bits, groups)))
+        answers = answers.unionByName(to_blocks(exchange(asked, bits, groups, tasks)))
         release(spark)
     scored = by_block.cogroup(answers.groupBy("block")).applyInPandas(
         score_block(order, counts),
