@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,11 +28,6 @@ def decode_bytes(content: Column) -> Column:
     return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(previous: Column, current: Column) -> Column:
     """Length of the longest start of the current words, two at least, that ends the previous; 0 if there is none."""
     most = F.least(F.size(previous), F.size(current))
@@ -68,7 +62,7 @@ def drop_repetition(cues: DataFrame, key: str = "path", order: str = "pos") -> D
                 keep, F.struct(fresh.alias("last"), F.concat(acc["out"], F.array(segment)).alias("out"))
             ).otherwise(acc)
 
-        return let(repeated_words(acc["last"], cue["words"]), emit)
+        return tx.let(repeated_words(acc["last"], cue["words"]), emit)
 
     start = F.struct(F.array().cast("array<string>").alias("last"), F.array().cast(kind).alias("out"))
     return listed.select(key, F.aggregate("cues", start, step, lambda a: a["out"]).alias("segments"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import text as tx
 from tessera.operators import lexical, vectors
 
 RRF_K = 60
@@ -90,3 +91,30 @@ def labels(results: DataFrame) -> DataFrame:
         .withColumn("distance_label", F.when(F.col("distance").isNull(), "lexical").otherwise(F.format_string("cosseno %.3f", F.col("distance"))))
         .withColumn("score_label", F.format_string("RRF %.4f", F.col("score")))
     )
+
+
+def rendered(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, pos, block): the text shown for each result. The wording is fixed, as readers of the output depend on it."""
+    about = chunks.select(
+        F.col("id").alias("__cid"), "document", "title", "upload_date", "start_str", "end_str", "chunk_index", "total_chunks", "timestamp_url"
+    )
+    # at most 2 x candidates rows are looked up
+    found = about.join(F.broadcast(labels(results)), F.col("__cid") == F.col("id"))
+    dated = F.coalesce(F.col("upload_date"), F.lit("")) != ""
+    lines = F.concat_ws(
+        "\n",
+        F.format_string("[%d] %s | %s | %s", F.col("pos") + 1, "distance_label", "score_label", "origin"),
+        F.format_string("  Vídeo:  %s", F.coalesce("title", F.lit("(sem título)"))),
+        F.when(dated, F.format_string("  Data:   %s", "upload_date")),
+        F.format_string(
+            "  Momento: %s → %s  (bloco %d de %d)",
+            F.coalesce("start_str", F.lit("??:??")),
+            F.coalesce("end_str", F.lit("??:??")),
+            F.coalesce("chunk_index", F.lit(0)) + 1,
+            F.coalesce("total_chunks", F.lit(1)),
+        ),
+        F.format_string("  Link:   %s", F.coalesce("timestamp_url", F.lit(""))),
+        F.lit("  Trecho:"),
+        F.concat(F.lit("    "), tx.strip(F.col("document"))),
+    )
+    return found.select("id", "pos", lines.alias("block"))

@@ -21,8 +21,11 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
 
 
-def cosine_distance(vector: Column, query: Column) -> Column:
-    return 1 - _dot(vector, query) / (norm(vector) * norm(query))
+def cosine_distance(vector: Column, query: Column, query_norm: Column | None = None) -> Column:
+    """1 minus the cosine; 1 if either side is all zeros, null if a number is missing or the lengths differ."""
+    dot = _dot(vector, query)
+    scale = norm(vector) * (norm(query) if query_norm is None else query_norm)
+    return F.when(scale == 0, dot + 1).otherwise(1 - F.try_divide(dot, scale))
 
 
 def literal(query: list[float]) -> Column:
@@ -32,13 +35,15 @@ def literal(query: list[float]) -> Column:
 def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 50, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, distance, rank) of the k nearest; filters belong before it. Each task keeps k rows; only they meet.
 
-    The query is a literal, and its norm a constant, so the scan is one projection.
+    The query is a literal, and its norm a constant, so the scan is one projection. A vector or query of zeros is at
+    distance 1; rows whose vector is null, of another length or holds a null have no distance and are not found.
     """
     size = sum(float(x) ** 2 for x in query) ** 0.5
-    distance = 1 - _dot(F.col(vector), literal(query)) / (norm(F.col(vector)) * F.lit(size))
-    order = [F.round("distance", 9), F.col("id")]
+    distance = cosine_distance(F.col(vector), literal(query), F.lit(size))
+    order = [F.round("distance", 9).asc_nulls_last(), F.col("id")]
     best = vectors.select(F.col(key).alias("id"), distance.alias("distance")).orderBy(*order).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    found = best.where("distance is not null")
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
 def wrong_dimension(vectors: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
