@@ -65,6 +65,7 @@ MODELS = {
         ModelSpec("text-embedding-3-large", 3072),
     )
 }
+# Fixed values, which results depend on: the first mark that a name contains decides.
 FAMILIES = (
     ("gte-qwen2", "Alibaba-NLP/gte-Qwen2-1.5B-instruct"),
     ("inf-retriever", "infly/inf-retriever-v1-1.5b"),
@@ -75,9 +76,16 @@ FAMILIES = (
     ("text-embedding-3-small", "text-embedding-3-small"),
     ("text-embedding-3-large", "text-embedding-3-large"),
 )
+# Fixed values, which results depend on.
 LOCAL = ("local", "huggingface", "hf", "st", "stella", "infini", "gte", "e5", "bge")
 API = ("api", "openai", "infini-cloud", "cloud", "infini_api")
 NEUTRAL_DIMENSION = 1536
+DEFAULT_MODELS = {
+    "stella": "dunzhang/stella_en_1.5B_v5",
+    "infini": "infly/inf-retriever-v1-1.5b",
+    "local": "Alibaba-NLP/gte-Qwen2-1.5B-instruct",
+    "api": "text-embedding-3-small",
+}
 
 
 def resolve(model: str) -> ModelSpec:
@@ -102,6 +110,13 @@ def provider_kind(provider: str | None) -> str:
     raise ValueError(f"unknown provider: {provider}")
 
 
+def model_for(provider: str | None = None, model: str | None = None, configured: str | None = None) -> ModelSpec:
+    """The model asked for, else the provider's own; `configured` (an environment's choice) counts for remote ones."""
+    kind, chosen = provider_kind(provider), (provider or "local").strip().lower()
+    own = DEFAULT_MODELS.get(chosen, DEFAULT_MODELS[kind])
+    return resolve(model or (configured if kind == "api" else None) or own)
+
+
 def registry_table(spark: SparkSession) -> DataFrame:
     rows = [(s.name, s.dimension, s.query_prefix, s.document_prefix, s.lowercase, s.normalize, s.fingerprint) for s in MODELS.values()]
     return spark.createDataFrame(
@@ -117,29 +132,26 @@ def resolve_table(names: DataFrame, name: str = "model") -> DataFrame:
     return names.withColumn("registered", found)
 
 
-def collection_meta(spark: SparkSession, spec: ModelSpec) -> DataFrame:
-    return spark.createDataFrame(
-        [("cosine", spec.dimension, spec.name, spec.fingerprint)], "space string, dimensions int, model string, fingerprint string"
-    )
+def contract_of(spec: ModelSpec) -> dict:
+    """What a collection records about the model that its vectors come from."""
+    return {"space": "cosine", "dimensions": spec.dimension, "model": spec.name, "fingerprint": spec.fingerprint}
+
 
+def check_compatible(recorded: dict, spec: ModelSpec, permit: bool = False) -> None:
+    """Raises (or, if permitted, warns) when a recorded contract differs; what is not recorded passes.
 
-def check_compatible(meta: DataFrame, spec: ModelSpec, permit: bool = False) -> None:
-    """Raises (or, if permitted, warns) when a collection's contract differs; no metadata passes."""
-    row = meta.first()
-    if row is None:
+    The fingerprint stands for the model, so names only count where there is none.
+    """
+    asked = contract_of(spec)
+    by = ["dimensions", "fingerprint" if recorded.get("fingerprint") else "model"]
+    differ = {k: (recorded[k], asked[k]) for k in by if recorded.get(k) not in (None, "", asked[k])}
+    if not differ:
         return
-    problems = []
-    if row["dimensions"] is not None and row["dimensions"] != spec.dimension:
-        problems.append(f"dimension {row['dimensions']} != {spec.dimension}")
-    if row["fingerprint"] and row["fingerprint"] != spec.fingerprint:
-        problems.append(f"fingerprint {row['fingerprint']} != {spec.fingerprint}")
-    if not row["fingerprint"] and row["model"] and row["model"] != spec.name:
-        problems.append(f"model {row['model']} != {spec.name}")
-    if problems:
-        message = f"{row['model'] or 'unknown'} vs {spec.name}: " + "; ".join(problems)
-        if not permit:
-            raise IncompatibleModel(message)
-        warnings.warn(message, stacklevel=2)
+    listed = "; ".join(f"{k} {was} instead of {now}" for k, (was, now) in differ.items())
+    message = f"the collection's vectors are of {recorded.get('model') or 'an unknown model'}, not of {spec.name}: {listed}"
+    if not permit:
+        raise IncompatibleModel(message)
+    warnings.warn(message, stacklevel=2)
 
 
 def prepared(text: Column, spec: ModelSpec, prefix: str | None) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHUNKER_VERSION = 2
 
@@ -69,6 +70,21 @@ def is_bot_error(message: Column) -> Column:
     return found
 
 
+def bot_runs(attempts: DataFrame, most: int, *, run: str = "run", order: str = "pos") -> DataFrame:
+    """Attempts (run, order, ok, message) with `failures`, the bot errors since the run's last success, and `stop`.
+
+    Other errors neither count nor reset. A run ends with its first attempt that has `most` failures: later attempts
+    are not made, and are left out.
+    """
+    bot = ~F.col("ok") & is_bot_error(F.col("message"))
+    so_far = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(run, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = attempts.withColumn("__s", F.count_if(F.col("ok")).over(so_far)).withColumn("failures", F.count_if(bot).over(since))
+    reached = counted.withColumn("stop", (F.col("failures") >= most) & bot)
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    return reached.withColumn("__e", F.coalesce(F.bool_or("stop").over(earlier), F.lit(False))).where("not __e").drop("__s", "__e")
+
+
 def video_url(webpage_url: Column, url: Column, video_id: Column) -> Column:
     found = F.coalesce(F.nullif(webpage_url, F.lit("")), url, F.lit(""))
     return F.when(found.startswith("http"), found).otherwise(F.concat(F.lit("https://www.youtube.com/watch?v="), video_id))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
 from tessera.operators.captions import decode_bytes, parse_captions
+from tessera.sources.storage import file_system
 
 TRANSCRIPT = (
     "id string, title string, upload_date string, webpage_url string, duration double, detected_language string, "
@@ -16,7 +17,7 @@ TRANSCRIPT = (
 SEGMENT = "start string, end string, text string"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a JSON file; unreadable files are left out. Ids fall back to the file's stem; mtime in seconds.
 
     Segments stay JSON texts, as any element may be anything.
@@ -75,7 +76,10 @@ def asr_language(name: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The distinct, not blank lines of a done list (id)."""
+    """The distinct, not blank lines of a done list (id); a list that does not exist yet is empty."""
+    files, where = file_system(spark, path)
+    if not files.exists(where):
+        return spark.createDataFrame([], "id string")
     return spark.read.text(path).select(tx.strip(F.col("value")).alias("id")).where("id <> ''").distinct()
 
 
@@ -124,34 +128,6 @@ def append_jsonl(chunks: DataFrame, path: str) -> None:
     chunks.select("id", "embedding", "document", F.struct(*meta).alias("metadata")).write.mode("append").json(path)
 
 
-def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A manifest or collection; one that does not exist yet is empty."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def open_collection(spark: SparkSession, path: str, create: bool = False) -> DataFrame | None:
-    """The chunk table at a path; None for a new one; FileNotFoundError if it is absent and not to be created."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.parquet(path)
-    if not create:
-        raise FileNotFoundError(path)
-    return None
-
-
-def write_collection(chunks: DataFrame, path: str) -> None:
-    """A new version beside the old one, then a rename, so that readers never see half a table."""
-    spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{path}.new")
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    files = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(make(path), True)
-    files.rename(make(f"{path}.new"), make(path))
-
-
 def lookup(chunks: DataFrame, ids: DataFrame, where: Column | None = None) -> DataFrame:
     """Chunks of the ids (a top-k list), filtered."""
     found = chunks.join(ids.select("id"), "id", "left_semi")

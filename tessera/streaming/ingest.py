@@ -1,35 +1,31 @@
-"""Incremental ingestion of transcript files as a stream: each micro-batch replaces its videos' chunks."""
+"""Incremental indexing of transcript files as a stream: each micro-batch goes through the same path as a batch run."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.chunks import chunk_transcripts
-from tessera.operators.incremental import CHUNKER_VERSION, replace_videos
+from tessera.functions.models import ModelSpec
+from tessera.operators.indexing import Library
 from tessera.sources import transcripts as io
 
 
-def ingest(spark: SparkSession, source: str, collection: str, manifest: str, checkpoint: str, **chunking) -> StreamingQuery:
-    """Processes new transcript files until none is left. A repeated batch gives the same tables."""
+def ingest(
+    spark: SparkSession, source: str, library: str, checkpoint: str, spec: ModelSpec, encode: Callable[[list[str]], np.ndarray], **options
+) -> StreamingQuery:
+    """Indexes new transcript files into the library until none is left.
+
+    A micro-batch rewrites only the partitions of its videos. One that is repeated after a crash finds its files in
+    the manifest and changes nothing.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
         paths = [r["path"] for r in rows.select("path").distinct().collect()]  # a micro-batch's file names
-        if not paths:
-            return
-        files = io.read_transcripts(spark, paths)
-        chunks = chunk_transcripts(io.segment_rows(files), files.select("video_id", "title", "upload_date", "webpage_url"), **chunking)
-        old = io.open_collection(spark, collection, create=True)
-        io.write_collection(chunks if old is None else replace_videos(old, chunks), collection)
-        done = (
-            chunks.groupBy("video_id")
-            .agg(F.count(F.lit(1)).alias("chunks"))
-            .join(files.groupBy("video_id").agg(F.max("mtime").alias("mtime")), "video_id")
-            .withColumn("chunker", F.lit(CHUNKER_VERSION))
-        )
-        known = io.open_collection(spark, manifest, create=True)
-        io.write_collection(done if known is None else known.join(done, "video_id", "left_anti").unionByName(done), manifest)
+        if paths:
+            Library(spark, library).index(io.read_transcripts(spark, paths), spec, encode, **options)
 
     names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     stream = names.option("pathGlobFilter", "*.json").load(source).select("path")
