@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.functions import models
 from tessera.functions import text as tx
-from tessera.plans.parameters import LABEL, MODEL_NAMES, QUERY, QUERY_VECTOR, REPEATED, STOPWORD_QUERY
+from tessera.plans.parameters import LABEL, QUERY, QUERY_VECTOR, REPEATED, STOPWORD_QUERY
 
 TOKENS = "regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[a-z0-9]+')"
 VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
@@ -45,7 +44,7 @@ SELECT id, distance, CAST(row_number() OVER (ORDER BY round(distance, 9), id) -
 
 EMBEDDED = (
     "SELECT d.doc_id AS id, d.text AS document, d.source AS video_id, e.label, e.embedding "
-    "FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+    "FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
 )
 
 
@@ -195,19 +194,20 @@ SELECT doc_id AS video_id,
 FROM documents LEFT JOIN ({MANIFEST}) ON doc_id = k"""
 
 
-def sql_text(x) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-REGISTRY = ", ".join(
-    f"({sql_text(s.name)}, {s.dimension}, {sql_text(s.query_prefix)}, {sql_text(s.document_prefix)}, {str(s.lowercase).lower()}, "
-    f"{str(s.normalize).lower()}, {sql_text(f)})"
-    for s, f in zip(
-        models.MODELS.values(),
-        # Fixed values, which results depend on.
-        "e934663d506a3fa8 9c73fcff80873f7f c871eca8a0073d91 644c5ecc5cb0d23b b8dc4f7aae6f4d26 5c0a45719eeccf97 932e7020eee92bdc 1ebf40ea2ed715b7".split(),
-    )
-)
+# Fixed values, which results depend on; written out, so that they check the registry.
+REGISTRY = r"""
+  ('Alibaba-NLP/gte-Qwen2-1.5B-instruct', 1536, 'Instruct: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || 'Query: ', NULL, false, true, 'e934663d506a3fa8'),
+  ('infly/inf-retriever-v1-1.5b', 1536, 'query: ', 'passage: ', false, true, '9c73fcff80873f7f'),
+  ('dunzhang/stella_en_1.5B_v5', 1536, 's2p_query: ', 's2p_document: ', false, true, 'c871eca8a0073d91'),
+  ('BAAI/bge-m3', 1024, NULL, NULL, false, true, '644c5ecc5cb0d23b'),
+  ('intfloat/multilingual-e5-large', 1024, 'query: ', 'passage: ', false, true, 'b8dc4f7aae6f4d26'),
+  ('sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2', 384, NULL, NULL, false, true, '5c0a45719eeccf97'),
+  ('text-embedding-3-small', 1536, NULL, NULL, false, true, '932e7020eee92bdc'),
+  ('text-embedding-3-large', 3072, NULL, NULL, false, true, '1ebf40ea2ed715b7')"""
+RESOLVED = """
+  ('BAAI/bge-m3', 'BAAI/bge-m3'), ('infly/inf-retriever-v1-5b', 'infly/inf-retriever-v1-1.5b'),
+  ('someone/STELLA-large', 'dunzhang/stella_en_1.5B_v5'), ('text-embedding-3-small', 'text-embedding-3-small'),
+  ('me/unknown-model', NULL), ('x/multilingual-e5-base', 'intfloat/multilingual-e5-large')"""
 EXPORT = f"SELECT video_id, {{0}} AS content FROM ({LINES}) GROUP BY video_id"
 
 ORACLES: dict[str, str] = {
@@ -253,9 +253,9 @@ SELECT id, concat_ws(' + ', 'vetorial #' || (vector_rank + 1), 'lexical #' || (l
 FROM found""",
     "diversify": """
 WITH o AS (SELECT doc_id, source AS video_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents),
-m AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) > 2 AS over_most FROM o WHERE pos < 200)
+m AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) > 2 AS over_most FROM o)
 SELECT doc_id, video_id, CAST(row_number() OVER (ORDER BY over_most, pos) - 1 AS INTEGER) AS pos FROM m""",
-    "point_lookup": "SELECT doc_id AS id, source AS video_id FROM documents WHERE source = 'src0' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "point_lookup": "SELECT doc_id AS id, source AS video_id FROM documents WHERE source <> 'src0' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "noise_filter": f"""
 SELECT doc_id, line, {noise('c')} AS noise, regexp_matches(t, '{STOP}') AS stop FROM (
   SELECT doc_id, line, t, {STRIPPED.format('t')} AS c FROM (
@@ -283,7 +283,7 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE
 WITH RECURSIVE {CUES}, {DEDUPE},
 n AS (SELECT path, count(*) AS b, count(*) FILTER (WHERE i <= 3) AS a FROM segments GROUP BY path)
 SELECT CAST(path AS VARCHAR) AS video_id, path || CASE WHEN a >= b THEN '/a' ELSE '/b' END AS path, greatest(a, b) AS n_segments FROM n""",
-    "anti_join_pending": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join_pending": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "duration_filter": """
 SELECT event_id FROM events WHERE event_type <> 'error' AND (event_id % 7 = 0 OR event_id % 11 = 0 OR value >= 60)""",
     "incremental_select": selection(False),
@@ -301,10 +301,7 @@ UNION ALL SELECT doc_id, CAST(quality - 10 AS BIGINT) FROM labels""",
 SELECT page_id, CASE WHEN u LIKE 'http%' THEN u ELSE '{tx.WATCH_URL}' || page_id END AS url FROM (
   SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 2 = 0 THEN 'id' || page_id ELSE url END AS u FROM pages)""",
     "model_registry": f"SELECT * FROM (VALUES {REGISTRY}) r(name, dimension, query_prefix, document_prefix, lowercase, normalize, fingerprint)",
-    "model_resolve": f"""
-SELECT model, CASE {' '.join(f"WHEN model = '{n}' THEN '{n}'" for n in models.MODELS)}
-  {' '.join(f"WHEN contains(lower(model), '{m}') THEN '{n}'" for m, n in models.FAMILIES)} END AS registered
-FROM (SELECT unnest([{text_list(MODEL_NAMES)}]) AS model)""",
+    "model_resolve": f"SELECT * FROM (VALUES {RESOLVED}) r(model, registered)",
     "embed_prepare": rf"""
 SELECT doc_id, 'passage: ' || {STRIPPED.format("coalesce(text, '')")} AS input, {STRIPPED.format("replace(text, chr(10), ' ')")} AS line FROM documents""",
     "vtt_export": EXPORT.format(
@@ -315,4 +312,30 @@ SELECT doc_id, 'passage: ' || {STRIPPED.format("coalesce(text, '')")} AS input,
     "output_names": r"""
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '20240101' ELSE 'SEM_DATA' END || ' - '
        || left(trim(regexp_replace(strip_accents(url), '[^A-Za-z0-9._-]+', '_', 'g'), ' ._'), 110) || ' [' || page_id || ']' AS name FROM pages""",
+    "index_end_to_end": f"""
+SELECT id, document, video_id, start_time, end_time, CAST(16 AS INTEGER) AS dimension, 1.0::DOUBLE AS norm FROM ({CHUNK_FULL})""",
+    "index_limit": f"""
+SELECT video_id, count(*) AS chunks, CAST(video_id AS DOUBLE) AS mtime, CAST(2 AS INTEGER) AS chunker, left(sha256('{{"dimensao": 16, "lowercase": false, "nome": "stub", "normalizar": true, "prefixo_documento": "passage: ", "prefixo_query": null}}'), 16) AS fingerprint
+FROM ({CHUNK_FULL}) WHERE CAST(video_id AS BIGINT) IN (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 100) GROUP BY video_id""",
+    "index_manifest": f"""
+SELECT video_id, count(*) AS chunks, CAST(video_id AS DOUBLE) AS mtime, CAST(2 AS INTEGER) AS chunker FROM ({CHUNK_FULL}) GROUP BY video_id""",
+    "result_blocks": f"""
+WITH {hybrid_ctes(QUERY)}
+SELECT f.id, f.pos, concat_ws(chr(10),
+  printf('[%d] %s | RRF %.4f | ', pos + 1, CASE WHEN distance IS NULL THEN 'lexical' ELSE printf('cosseno %.3f', distance) END, score)
+    || concat_ws(' + ', 'vetorial #' || (vector_rank + 1), 'lexical #' || (lexical_rank + 1)),
+  '  Vídeo:  ' || coalesce(f.video_id, '(sem título)'), CASE WHEN f.id % 2 = 0 THEN '  Data:   20240229' END,
+  '  Momento: ' || {clock('f.id')} || ' → ??:??  (bloco ' || (f.id + 1) || ' de 9)', '  Link:   ' || coalesce('https://h/' || f.video_id, ''),
+  '  Trecho:', '    ' || {STRIPPED.format('c.document')}) AS block
+FROM found f JOIN corpus c ON f.id = c.id WHERE pos < 10""",
+    "bot_failure_runs": """
+WITH r AS (SELECT user_id AS run, event_id AS pos, event_type = 'click' AS ok, event_type <> 'click' AND event_id % 4 <> 0 AS bot FROM events),
+s AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY pos) AS since FROM r),
+f AS (SELECT *, CAST(sum(CASE WHEN bot THEN 1 ELSE 0 END) OVER (PARTITION BY run, since ORDER BY pos) AS BIGINT) AS failures FROM s),
+m AS (SELECT run, min(pos) AS last FROM f WHERE failures >= 3 AND bot GROUP BY run)
+SELECT f.run, f.pos, failures, coalesce(f.pos = m.last, false) AS stop FROM f LEFT JOIN m ON f.run = m.run WHERE m.last IS NULL OR f.pos <= m.last""",
+    "asr_segments": f"""
+SELECT video_id, start, "end", {STRIPPED.format('text')} AS text FROM ({LINES}) WHERE {STRIPPED.format('text')} <> ''""",
+    "asr_language": "SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN lower(lang) END AS language FROM documents",
+    "done_list": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels",
 }

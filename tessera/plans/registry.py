@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,10 @@ from tessera.functions import text as tx
 from tessera.operators import captions, chunks, hybrid, incremental, lexical, vectors
 from tessera.plans.oracles import ORACLES  # noqa: F401
 from tessera.plans.parameters import LABEL, MODEL_NAMES, QUERY, QUERY_VECTOR, REPEATED, STOPWORD_QUERY
+from tessera.operators.indexing import Library
 from tessera.sources import transcripts as io
+from tessera.sources.collection import Collection
+from tessera.sources.storage import new_path, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,9 +38,9 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that have a vector of the same number, with its label."""
+    """All passages, with the vector of the same number and its label where there is one."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return passages(spark, sf_dir).join(e, "id")
+    return passages(spark, sf_dir).join(e, "id", "left")
 
 
 def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +93,8 @@ def bm25_stopword_only(spark, sf_dir):
 
 @query
 def bm25_multi_query(spark, sf_dir):
-    index = lexical.LexicalIndex.build(passages(spark, sf_dir))
+    saved = f"{shared_dir(spark).rstrip('/')}/lexical/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    index = lexical.LexicalIndex.open(passages(spark, sf_dir), saved)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     found = lexical.bm25_many(index, asked, 5)
     return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
@@ -174,9 +179,9 @@ def result_labels(spark, sf_dir):
 
 @query
 def diversify(spark, sf_dir):
+    # all documents as one list of results, longest first
     d = table(spark, sf_dir, "documents")
-    ordered = d.orderBy(F.col("n_chars").desc(), "doc_id").limit(200)
-    ordered = ordered.withColumn("pos", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")) - 1)
+    ordered = d.withColumn("pos", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")) - 1)
     found = hybrid.diversify(ordered.select("doc_id", F.col("source").alias("video_id"), "pos"), 2)
     return found.select("doc_id", "video_id", F.col("pos").cast("int").alias("pos"))
 
@@ -184,7 +189,7 @@ def diversify(spark, sf_dir):
 @query
 def point_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return io.lookup(passages(spark, sf_dir), ids, F.col("video_id") == "src0").select("id", "video_id")
+    return io.lookup(passages(spark, sf_dir), ids, F.col("video_id") != "src0").select("id", "video_id")
 
 
 @query
@@ -302,8 +307,9 @@ def caption_best_source(spark, sf_dir):
 
 @query
 def anti_join_pending(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return incremental.pending(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    # labelled documents count as done
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return incremental.pending(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
 @query
@@ -420,3 +426,97 @@ def output_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     date = F.when(F.col("page_id") % 2 == 0, "20240101")
     return p.select("page_id", io.output_name(date, F.col("url"), F.col("page_id").cast("string")).alias("name"))
+
+
+STUB = models.ModelSpec("stub", 16, document_prefix="passage: ")
+
+
+def transcript_files(spark, sf_dir) -> DataFrame:
+    """Conversations as transcript files are read: one row a file, segments as JSON texts."""
+    rows = timed_lines(spark, sf_dir)
+    raw = F.to_json(F.struct("start", "end", "text"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", raw.alias("raw"))))
+    files = rows.groupBy("video_id").agg(F.transform(listed, lambda x: x["raw"]).alias("segments"))
+    none = F.lit(None).cast("string")
+    return files.select(
+        F.col("video_id").cast("string").alias("video_id"),
+        F.lpad(F.col("video_id").cast("string"), 12, "0").alias("path"),
+        (F.col("video_id") * 1.0).alias("mtime"),
+        none.alias("title"),
+        none.alias("upload_date"),
+        none.alias("webpage_url"),
+        "segments",
+    )
+
+
+def indexed(spark, sf_dir, *limits: int) -> Library:
+    """A new library after one run for each limit."""
+    library = Library(spark, new_path(spark))
+    for limit in limits:
+        library.index(transcript_files(spark, sf_dir), STUB, models.hashed_words(STUB.dimension), limit=limit)
+    return library
+
+
+@query
+def index_end_to_end(spark, sf_dir):
+    held = Collection.open(spark, indexed(spark, sf_dir, 0).collection_path, STUB).read()
+    size = F.size("embedding").alias("dimension")
+    return held.select("id", "document", "video_id", "start_time", "end_time", size, F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query
+def index_limit(spark, sf_dir):
+    """Forty files at first, then the others but for what is indexed; the manifest after both."""
+    return indexed(spark, sf_dir, 40, 60).manifest()
+
+
+@query
+def index_manifest(spark, sf_dir):
+    return indexed(spark, sf_dir, 0).manifest().select("video_id", "chunks", "mtime", "chunker")
+
+
+@query
+def result_blocks(spark, sf_dir):
+    e = embedded(spark, sf_dir)
+    about = passages(spark, sf_dir).select(
+        "id", "document", F.col("video_id").alias("title"), F.when(F.col("id") % 2 == 0, "20240229").alias("upload_date"),
+        tx.format_seconds(F.col("id") * 1.0).alias("start_str"), F.lit(None).cast("string").alias("end_str"),
+        F.col("id").cast("int").alias("chunk_index"), F.lit(9).alias("total_chunks"), F.concat(F.lit("https://h/"), "video_id").alias("timestamp_url"),
+    )
+    found = hybrid.rendered(hybrid.hybrid_search(e, QUERY_VECTOR, QUERY, top_k=10), about)
+    return found.select("id", F.col("pos").cast("int").alias("pos"), "block")
+
+
+@query
+def bot_failure_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    message = F.when(F.col("event_id") % 4 == 0, "timeout").otherwise("HTTP Error 403: Forbidden")
+    rows = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), (F.col("event_type") == "click").alias("ok"), message.alias("message"))
+    return incremental.bot_runs(rows, 3).select("run", "pos", F.col("failures").cast("long").alias("failures"), "stop")
+
+
+@query
+def asr_segments(spark, sf_dir):
+    rows = timed_lines(spark, sf_dir)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    item = F.struct(F.struct(ms("start").alias("from"), ms("end").alias("to")).alias("offsets"), F.concat(F.lit(" "), "text").alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", item.alias("item"))))
+    files = rows.groupBy("video_id").agg(F.to_json(F.struct(F.transform(listed, lambda x: x["item"]).alias("transcription"))).alias("raw"))
+    return files.select("video_id", F.inline(io.asr_segments(F.col("raw"))))
+
+
+@query
+def asr_language(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"))).when(F.col("doc_id") % 3 == 1, " Auto ").otherwise(F.col("lang"))
+    return d.select("doc_id", io.asr_language(name).alias("language"))
+
+
+@query
+def done_list(spark, sf_dir):
+    """What is on the list after the labelled documents were put there twice, against a list that does not exist."""
+    path = new_path(spark)
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    for _ in range(2):
+        io.append_done(ids, path)
+    return io.read_lines(spark, path).unionByName(io.read_lines(spark, f"{path}-none"))

@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import models
+from tessera.functions import text as tx
 from tessera.operators import hybrid, incremental, lexical, vectors
 
 DOCS = [
-    ("a", "A tecnica 369 ativa a lei da atracao e traz abundancia", [1.0, 0.0, 0.0, 0.0], "v0"),
-    ("b", "Portal 12 12 para atrair riqueza saude e felicidade", [0.0, 1.0, 0.0, 0.0], "v1"),
-    ("c", "Como dormir dormindo para mudar sua vida", [0.0, 0.0, 1.0, 0.0], "v2"),
-    ("d", "Portal 99 da sabedoria da riqueza", [0.0, 0.0, 0.0, 1.0], "v3"),
+    ("a", "O bonde 7 sobe a ladeira da estação e volta vazio", [2.0, 0.0, 0.0, 0.5], "v0"),
+    ("b", "Barca 40 40 atravessa a baía com chuva e vento", [0.0, 3.0, 0.0, 0.5], "v1"),
+    ("c", "Onde trocar de trem sem pagar outra passagem", [0.0, 0.0, 1.0, 0.0], "v2"),
+    ("d", "Barca 8 da ilha sai da doca", [0.1, 0.0, 0.0, 1.0], "v3"),
 ]
 
 
@@ -25,17 +26,17 @@ def ids(found):
 
 
 def test_bm25(spark, docs):
-    assert ids(lexical.bm25(docs, "tecnica 369"))[0] == "a"
-    assert set(ids(lexical.bm25(docs, "portal"))) == {"b", "d"}
-    assert len(ids(lexical.bm25(docs, "portal lei atracao", 2))) == 2
-    assert ids(lexical.bm25(docs, "atração")) == ["a"]
-    for nothing in ("a de da que e", "xyzzy", "", "  "):
+    assert ids(lexical.bm25(docs, "bonde 7"))[0] == "a"
+    assert set(ids(lexical.bm25(docs, "barca"))) == {"b", "d"}
+    assert len(ids(lexical.bm25(docs, "barca ladeira trem", 2))) == 2
+    assert ids(lexical.bm25(docs, "estacao")) == ["a"]
+    for nothing in ("a de da que e", "metropolitano", "", "  "):
         assert ids(lexical.bm25(docs, nothing)) == []
-    assert lexical.bm25(docs.limit(0), "portal").count() == 0
+    assert lexical.bm25(docs.limit(0), "barca").count() == 0
 
 
 def test_bm25_formula_and_index(spark, docs):
-    tokens = {r["id"]: r["t"] for r in docs.select("id", __import__("tessera.functions.text", fromlist=["x"]).tokens(F.col("document")).alias("t")).collect()}
+    tokens = {r["id"]: r["t"] for r in docs.select("id", tx.tokens(F.col("document")).alias("t")).collect()}
     avg = sum(map(len, tokens.values())) / 4
 
     def score(doc, terms):
@@ -45,19 +46,38 @@ def test_bm25_formula_and_index(spark, docs):
             out += q * math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens[doc]) / avg)) if tf else 0
         return out
 
-    got = {r["id"]: r["score"] for r in lexical.bm25(docs, "portal 12 12").collect()}
-    terms = {"portal": 1, "12": 2}
+    got = {r["id"]: r["score"] for r in lexical.bm25(docs, "barca 40 40").collect()}
+    terms = {"barca": 1, "40": 2}
     assert got == pytest.approx({d: score(d, terms) for d in ("b", "d")})
     index = lexical.LexicalIndex.build(docs)
-    asked = spark.createDataFrame([(1, "portal 12 12"), (2, "a de"), (3, "tecnica")], "qid int, query string")
+    asked = spark.createDataFrame([(1, "barca 40 40"), (2, "a de"), (3, "bonde")], "qid int, query string")
     many = {(r["qid"], r["id"]): r["score"] for r in lexical.bm25_many(index, asked).collect()}
     assert {k[0] for k in many} == {1, 3} and many[1, "b"] == pytest.approx(score("b", terms))
 
 
 def test_saved_index(spark, docs, tmp_path):
-    lexical.LexicalIndex.build(docs).save(str(tmp_path))
-    assert lexical.LexicalIndex.load(spark, str(tmp_path), 5) is None
-    assert lexical.LexicalIndex.load(spark, str(tmp_path), 4).terms.count() > 10
+    path = str(tmp_path / "index")
+    first = lexical.LexicalIndex.open(docs, path)
+    assert first.terms.count() > 10 and first.corpus.first()["n"] == 4
+    made = (tmp_path / "index" / "corpus" / "_SUCCESS").stat().st_mtime_ns
+    lexical.LexicalIndex.open(docs.repartition(3), path)
+    assert (tmp_path / "index" / "corpus" / "_SUCCESS").stat().st_mtime_ns == made
+    changed = docs.withColumn("document", F.regexp_replace("document", "ilha", "praia"))
+    assert lexical.LexicalIndex.open(changed, path).terms.where("term = 'praia'").count() == 1
+    none = lexical.LexicalIndex.build(docs.limit(0))
+    assert none.corpus.first()["n"] == 0
+    assert lexical.bm25_many(none, spark.createDataFrame([(1, "barca")], "qid int, query string")).count() == 0
+
+
+def test_texts_are_tokenised_once(docs):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    out = StringIO()
+    with redirect_stdout(out):
+        lexical.scan_scores(docs, "barca 40 ladeira").explain("extended")
+    # the scores come from the stored counts
+    assert "regexp_extract_all" not in out.getvalue()
 
 
 def test_vectors(spark, docs):
@@ -67,12 +87,22 @@ def test_vectors(spark, docs):
     assert vectors.wrong_dimension(docs, 4).count() == 0
 
 
+def test_vectors_without_direction(spark, docs):
+    rows = [("z", [0.0, 0.0]), ("o", [-1.0, 0.0]), ("p", [5.0, 0.0]), ("n", None), ("h", [1.0, None]), ("l", [1.0])]
+    table = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = [(r["id"], r["distance"], r["rank"]) for r in vectors.cosine_top_k(table, [2.0, 0.0], 5).orderBy("rank").collect()]
+    assert got == [("p", 0.0, 0), ("z", 1.0, 1), ("o", 2.0, 2)]
+    assert [(r["id"], r["distance"]) for r in vectors.cosine_top_k(table, [0.0, 0.0], 5).collect()] == [("o", 1.0), ("p", 1.0), ("z", 1.0)]
+    blank = docs.withColumn("embedding", F.transform("embedding", lambda x: x * 0))
+    assert len(search(blank, "barca")) == 4
+
+
 def search(docs, text, **options):
     return hybrid.hybrid_search(docs, [0, 0, 1, 0], text, **options).orderBy("pos").collect()
 
 
 def test_hybrid(docs):
-    got = {r["id"]: r for r in search(docs, "portal")}
+    got = {r["id"]: r for r in search(docs, "barca")}
     assert got["b"]["lexical_rank"] is not None and got["d"]["lexical_rank"] is not None
     assert got["c"]["vector_rank"] == 0 and got["c"]["score"] == pytest.approx(1 / 61)
     assert got["d"]["score"] == pytest.approx(1 / (61 + got["d"]["vector_rank"]) + 1 / (61 + got["d"]["lexical_rank"]))
@@ -80,17 +110,17 @@ def test_hybrid(docs):
 
 def test_vector_only_is_one_rank_more_generous(docs):
     for options in ({"lexical_weight": 0.0}, {"hybrid": False}):
-        assert [r["score"] for r in search(docs, "portal", **options)] == pytest.approx([1 / (60 + i) for i in range(4)])
-    assert search(docs, "xyzzy")[0]["score"] == pytest.approx(1 / 60)
+        assert [r["score"] for r in search(docs, "barca", **options)] == pytest.approx([1 / (60 + i) for i in range(4)])
+    assert search(docs, "metropolitano")[0]["score"] == pytest.approx(1 / 60)
     # the filter leaves the lexical side empty
-    assert [(r["id"], r["score"]) for r in search(docs, "portal", where=F.col("video_id") == "v2")] == [("c", pytest.approx(1 / 60))]
+    assert [(r["id"], r["score"]) for r in search(docs, "barca", where=F.col("video_id") == "v2")] == [("c", pytest.approx(1 / 60))]
 
 
 def test_filter_threshold_weight(docs):
-    assert [r["id"] for r in search(docs, "portal", where=F.col("video_id") == "v3")] == ["d"]
-    assert all(r["score"] >= 0.02 for r in search(docs, "portal", min_score=0.02))
-    assert search(docs, "portal", lexical_weight=5.0)[0]["id"] in ("b", "d")
-    assert len(search(docs, "portal", top_k=2)) == 2
+    assert [r["id"] for r in search(docs, "barca", where=F.col("video_id") == "v3")] == ["d"]
+    assert all(r["score"] >= 0.02 for r in search(docs, "barca", min_score=0.02))
+    assert search(docs, "barca", lexical_weight=5.0)[0]["id"] in ("b", "d")
+    assert len(search(docs, "barca", top_k=2)) == 2
 
 
 def test_diversify(spark):
@@ -102,11 +132,21 @@ def test_diversify(spark):
 
 
 def test_labels(docs):
-    got = {r["id"]: r for r in hybrid.labels(hybrid.hybrid_search(docs, [0, 0, 1, 0], "portal")).collect()}
+    got = {r["id"]: r for r in hybrid.labels(hybrid.hybrid_search(docs, [0, 0, 1, 0], "barca")).collect()}
     assert got["c"]["origin"] == "vetorial #1" and got["c"]["distance_label"] == "cosseno 0.000" and got["c"]["score_label"] == "RRF 0.0164"
     assert " + lexical #" in got["b"]["origin"]
 
 
+def test_rendered(spark, docs):
+    about = docs.select("id", "document", F.lit("Linhas").alias("title"), F.lit("20230405").alias("upload_date"), F.lit("00:10").alias("start_str"),
+                        F.lit(None).cast("string").alias("end_str"), F.lit(1).alias("chunk_index"), F.lit(3).alias("total_chunks"), F.lit("u").alias("timestamp_url"))
+    got = {r["id"]: r["block"] for r in hybrid.rendered(hybrid.hybrid_search(docs, [0, 0, 1, 0], "barca"), about).collect()}
+    assert len(got) == 4
+    lines = got["c"].split("\n")
+    assert lines[0].endswith("cosseno 0.000 | RRF 0.0164 | vetorial #1") and lines[0].startswith("[")
+    assert lines[1:] == ["  Vídeo:  Linhas", "  Data:   20230405", "  Momento: 00:10 → ??:??  (bloco 2 de 3)", "  Link:   u", "  Trecho:", f"    {DOCS[2][1]}"]
+
+
 def test_selection(spark):
     files = spark.createDataFrame([(i, 10.0) for i in range(6)], "video_id int, mtime double")
     manifest = spark.createDataFrame([(1, 20.0, 2), (2, 5.0, 2), (3, 20.0, 1), (4, None, None), (5, None, 2)], "video_id int, mtime double, chunker int")
@@ -127,10 +167,10 @@ def test_collections(spark):
 
 
 def test_listing(spark):
-    rows = [("longo", 600.0, None), ("curto", 20.0, False), ("limite", 60.0, False), ("live", 40000.0, True), ("sem", None, None), ("zero", 0.0, None)]
+    rows = [("p", 95.5, None), ("q", 59.9, False), ("r", 60.0, False), ("s", 7200.0, True), ("t", None, None), ("u", 0.0, None)]
     videos = spark.createDataFrame(rows, "id string, duration double, is_live boolean")
     kept = lambda least: {r["id"] for r in videos.where(incremental.listed(F.col("duration"), F.col("is_live"), least)).collect()}
-    assert kept(60) == {"longo", "limite", "sem", "zero"}
+    assert kept(60) == {"p", "r", "t", "u"}
     assert kept(0) == {r[0] for r in rows}
 
 
@@ -144,11 +184,22 @@ def test_models(spark):
     with pytest.raises(ValueError):
         models.provider_kind("nowhere")
     spec, other = models.MODELS["BAAI/bge-m3"], models.MODELS["text-embedding-3-small"]
-    models.check_compatible(models.collection_meta(spark, spec), spec)
-    with pytest.raises(models.IncompatibleModel):
-        models.check_compatible(models.collection_meta(spark, other), spec)
+    models.check_compatible(models.contract_of(spec), spec)
+    models.check_compatible({}, spec)
+    models.check_compatible({"model": spec.name, "dimensions": None}, spec)
+    for recorded in (models.contract_of(other), {"model": other.name}, {"model": spec.name, "dimensions": 3}, {"fingerprint": "0" * 16}):
+        with pytest.raises(models.IncompatibleModel):
+            models.check_compatible(recorded, spec)
     with pytest.warns(UserWarning):
-        models.check_compatible(models.collection_meta(spark, other), spec, permit=True)
+        models.check_compatible(models.contract_of(other), spec, permit=True)
+
+
+def test_default_models():
+    name = lambda *a: models.model_for(*a).name
+    assert name() == name("local") == name("HF") == "Alibaba-NLP/gte-Qwen2-1.5B-instruct"
+    assert name("stella") == "dunzhang/stella_en_1.5B_v5" and name("infini") == "infly/inf-retriever-v1-1.5b"
+    assert name("openai") == "text-embedding-3-small" and name("api", None, "own") == "own" and name("gte", None, "own") != "own"
+    assert name("stella", "BAAI/bge-m3") == "BAAI/bge-m3"
 
 
 def test_encoder(spark):
