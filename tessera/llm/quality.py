@@ -90,7 +90,8 @@ def vote(queries: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
 def sampled_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, training) -> DataFrame:
     """Texts of at most fit_rows labelled rows with ids that `training` accepts, chosen by a hash of the id.
 
-    Repeated labels of an id count as the largest; null ids and null labels teach nothing.
+    Repeated labels of an id count as the largest, and of rows that share an id one teaches, so that no more come
+    back; null ids and null labels teach nothing.
     """
     chosen = (
         labels.select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("__label"))
@@ -102,7 +103,9 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: s
         .limit(fit_rows)
     )
     # at most fit_rows rows of two numbers
-    return docs.select(F.col(id_col).alias("__lid"), text_of().alias("__text")).join(F.broadcast(chosen), "__lid").drop("__lid")
+    found = docs.select(F.col(id_col).alias("__lid"), text_of().alias("__text")).join(F.broadcast(chosen), "__lid")
+    first = F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"), F.col("__label").alias("l")))
+    return found.groupBy("__lid").agg(first.alias("m")).select(F.col("m.t").alias("__text"), F.col("m.l").alias("__label"))
 
 
 def score_quality(

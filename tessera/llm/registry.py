@@ -46,7 +46,7 @@ def op5_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score_toxicity
 
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

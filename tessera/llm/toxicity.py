@@ -9,16 +9,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, fold, text_of
-from tessera.llm.quality import sampled_labels
+from tessera.llm.common import cut, fold, packed, text_of, unpacked
+from tessera.llm.quality import _SPLIT, sampled_labels
 
 #: Generic English insults: one voter that no label has touched.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "trash", "clown")
 LISTS = 6  # learned lexicons of each kind
 KINDS = ("word", "stem4", "stem5")
 VOTERS = 1 + LISTS * len(KINDS) + 2
+HASHED = 1024  # buckets of the words that the linear model sees besides the lexicons' terms
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+RESULT = ["held_out", "score", "predicted"]
+
+
+def plain(token: str) -> str:
+    """A token (a run of anything but the contract's white space) as lexicons look at it."""
+    return token.lower().strip(STRIP)
 
 
 def units(word: str) -> list[tuple[str, str]]:
@@ -31,107 +39,139 @@ def learn_lexicons(sample: DataFrame, per_kind: int, precision: float, least: in
 
     Document frequencies are counted by Spark; at most per_kind terms of a kind come back.
     """
-    words = F.transform(
-        F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(WORD), F.lit(0))), lambda w: F.btrim(w, F.lit(STRIP))
-    )
-    terms = F.array_distinct(
-        F.concat(
-            F.transform(words, lambda w: F.concat(F.lit("word:"), w)),
-            *[
-                F.transform(
-                    F.filter(words, lambda w: F.char_length(w) > size),
-                    lambda w: F.concat(F.lit(f"stem{size}:"), F.substring(w, 1, size)),
-                )
-                for size in (4, 5)
-            ],
-        )
-    )
-    counts = (
-        sample.select("__label", F.explode(terms).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("__label").alias("toxic"), F.count(F.lit(1)).alias("n"))
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, label in zip(b["__text"], b["__label"]):
+                found = sorted({u for w in {plain(t) for t in _SPLIT(text)} if w for u in units(w)})
+                yield pd.DataFrame(found, columns=["kind", "term"]).assign(label=label)
+
+    top = Window.partitionBy("kind").orderBy(F.col("toxic").desc(), "term")
+    found = (
+        sample.mapInPandas(terms, "kind string, term string, label int")
+        .groupBy("kind", "term")
+        .agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
         .where((F.col("toxic") >= least) & (F.col("toxic") >= precision * F.col("n")))
-        .withColumn("kind", F.split("term", ":", 2)[0])
+        .withColumn("i", F.row_number().over(top))
+        .where(F.col("i") <= per_kind)
+        .collect()
     )
-    found = {}
-    for kind in KINDS:
-        top = counts.where(F.col("kind") == kind).orderBy(F.col("toxic").desc(), "term").limit(per_kind).collect()
-        for r in top:
-            term = r["term"].split(":", 1)[1]
-            found[kind, term] = 1 + KINDS.index(kind) * LISTS + crc32(term.encode()) % LISTS
-    return found
+    return {(r["kind"], r["term"]): 1 + KINDS.index(r["kind"]) * LISTS + crc32(r["term"].encode()) % LISTS for r in found}
 
 
 class Voters:
-    """Votes of a text, and its features: which terms of the lexicons it has. Hits of words are remembered."""
+    """What a text shows: its votes, which terms of the lexicons it has, its hashed words. Words are remembered."""
 
     def __init__(self, lexicons: dict[tuple[str, str], int], remembered: int = 300_000):
         self.voter_of = lexicons
         self.index = {term: i for i, term in enumerate(sorted(lexicons))}
-        self.known: dict[str, tuple[set[int], set[int]] | None] = {}
+        self.known: dict[str, int] = {}
+        self.hits: dict[str, tuple[set[int], set[int]]] = {}
+        self.long: list[str] = []
         self.limit = remembered
 
-    def _look(self, token: str) -> tuple[set[int], set[int]] | None:
-        word = token.lower().strip(STRIP)
+    def _look(self, token: str) -> int:
+        """The token's bucket; tokens that hit a lexicon are kept as well."""
+        word = plain(token)
         voters, terms = {0} if word in INSULTS else set(), set()
         for unit in units(word):
             if unit in self.voter_of:
                 voters.add(self.voter_of[unit])
                 terms.add(self.index[unit])
-        found = (voters, terms) if voters else None
-        if len(token) <= 40:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[token] = found
-        return found
-
-    def __call__(self, text: str) -> tuple[np.ndarray, list[int], int]:
-        """The votes, the terms found, and the number of words that hit."""
-        tokens = set(text.split())
-        votes, terms, hits = np.zeros(VOTERS, dtype=bool), set(), 0
+        if len(token) > 40:
+            self.long.append(token)
+        if voters:
+            self.hits[token] = (voters, terms)
+        self.known[token] = crc32(word.encode()) % HASHED
+        return self.known[token]
+
+    def __call__(self, text: str) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """The votes, the terms found, and the hashed words (distinct ones a bucket, over the root of all)."""
+        tokens = set(_SPLIT(text))
+        if len(self.known) >= self.limit:
+            self.known.clear()
+            self.hits.clear()
         known, look = self.known, self._look
-        for t in tokens:
-            got = known[t] if t in known else look(t)
-            if got:
-                hits += 1
-                votes[list(got[0])] = True
-                terms |= got[1]
+        buckets = [b if (b := known.get(t)) is not None else look(t) for t in tokens]
+        votes, terms, hits = np.zeros(VOTERS, dtype=bool), set(), 0
+        for t in self.hits.keys() & tokens:
+            hits += 1
+            votes[list(self.hits[t][0])] = True
+            terms |= self.hits[t][1]
         votes[VOTERS - 2] = hits >= 2  # pattern: several different hits
         votes[VOTERS - 1] = hits >= 1 and len(tokens) <= 40  # pattern: a hit in a short text
-        return votes, sorted(terms), hits
-
-
-def shared_evidence(votes: np.ndarray, posterior: np.ndarray, rates: tuple, least: float) -> np.ndarray:
-    """For each voter, one over the sum of its correlations, given the class, that reach `least` (itself: 1)."""
-    together = np.zeros((votes.shape[1], votes.shape[1]))
-    for weight, rate in zip((posterior, 1 - posterior), rates):
-        centred = votes - rate
-        cov = (centred * weight[:, None]).T @ centred / (weight.sum() + 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-3))
-        together = np.maximum(together, cov / np.outer(sd, sd))
-    np.fill_diagonal(together, 1)
-    return 1 / np.where(together >= least, together, 0).sum(axis=1)
-
-
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+        hashed = np.bincount(np.array(buckets, dtype=np.int64), minlength=HASHED) / np.sqrt(max(1, len(tokens)))
+        while self.long:
+            token = self.long.pop()
+            known.pop(token, None)
+            self.hits.pop(token, None)
+        return votes, sorted(terms), hashed.astype(np.float32)
+
+
+def dependence(votes: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Mutual information of every two voters, given the class; weights are each row's shares of the classes."""
+    total = np.zeros((votes.shape[1], votes.shape[1]))
+    for w in weights:
+        n = w.sum() + 2
+        one = (w @ votes + 1) / n
+        both = ((votes * w[:, None]).T @ votes + 2 * np.outer(one, one)) / n  # smoothed towards independence
+        for a, b, joint in (
+            (one, one, both),
+            (one, 1 - one, one[:, None] - both),
+            (1 - one, one, one[None, :] - both),
+            (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both),
+        ):
+            joint = np.maximum(joint, 1e-12)
+            total += w.mean() * joint * np.log(joint / np.outer(a, b))
+    return total
+
+
+def tree(information: np.ndarray, least: float) -> list[int]:
+    """Parents of the maximum spanning forest (-1: none), grown from the first voter; edges under `least` are left out."""
+    n = len(information)
+    parent, best = [-1] * n, np.full(n, -1.0)
+    source, left = [-1] * n, set(range(n))
+    while left:
+        at = max(sorted(left), key=lambda i: best[i])
+        left.remove(at)
+        if best[at] >= least:
+            parent[at] = source[at]
+        for i in left:
+            if information[at, i] > best[i]:
+                best[i], source[i] = information[at, i], at
+    return parent
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 60, least: float = 0.002) -> np.ndarray:
     """Posterior of the positive class for each row of votes, with no label used.
 
-    A two-class model with a firing rate of each voter in each class, fitted by expectation maximisation from the
-    majority vote; voters are taken to be better than chance. Voters that fire together within a class say the
-    same thing, so a voter's log odds are divided by the sum of its correlations: near copies (0.9 and more) from
-    the first guess on, as they would form the classes by themselves, all others (0.1 and more) in the posterior
-    that is returned, when the classes have settled.
+    The generative model draws the class, then each voter given the class and one other voter: accuracies are the
+    rates of firing in each class, correlations a tree of the voters that depend most on each other within the
+    classes (so a copy of a voter adds nothing, and a cause of many voters counts once). Expectation maximisation
+    starts from the majority vote; the tree is drawn anew every tenth round, voters are taken to be better than
+    chance, and a voter's rates given its parent are smoothed towards its rate in the class.
     """
     v = votes.astype(float)
     posterior = np.where(v.any(axis=1), 0.9, prior / 10)
-    for turn in range(rounds + 1):
+    parent: list[int] = []
+    for turn in range(rounds):
+        if turn % 10 == 0:
+            parent = tree(dependence(v, [posterior, 1 - posterior]), least)
         share = np.clip(posterior.mean(), 1e-3, 0.5)
         pos = np.clip((posterior @ v + 0.1) / (posterior.sum() + 1), 1e-3, 1 - 1e-3)
         neg = np.clip(((1 - posterior) @ v + 0.01) / ((1 - posterior).sum() + 1), 1e-5, pos)
-        if turn in (0, rounds):
-            discount = shared_evidence(v, posterior, (pos, neg), 0.1 if turn else 0.9)
-        fired, silent = np.log(pos / neg), np.log((1 - pos) / (1 - neg))
-        margin = np.log(share / (1 - share)) + v @ (discount * fired) + (1 - v) @ (discount * silent)
+        margin = np.full(len(v), np.log(share / (1 - share)))
+        for i, j in enumerate(parent):
+            odds = []
+            for w, rate in ((posterior, pos[i]), (1 - posterior, neg[i])):
+                if j < 0:
+                    p = np.full(len(v), rate)
+                else:
+                    given = [((w * u) @ v[:, i] + 2 * rate) / ((w * u).sum() + 2) for u in (1 - v[:, j], v[:, j])]
+                    p = np.where(v[:, j] > 0, given[1], given[0])
+                p = np.clip(p, 1e-5, 1 - 1e-5)
+                odds.append(np.where(v[:, i] > 0, np.log(p), np.log(1 - p)))
+            margin += odds[0] - odds[1]
         posterior = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
     return posterior
 
@@ -156,6 +196,7 @@ def score_toxicity(
     label_col: str = "toxic",
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: list[str] | None = None,
     modulus: int = 4,
     held: int = 2,
     fit_rows: int = 8000,
@@ -166,59 +207,70 @@ def score_toxicity(
 ) -> DataFrame:
     """Scores every whole text with a linear model trained on the label model's posteriors.
 
-    At most `fit_rows` labelled rows outside the held-out fold are read. Their labels only choose which words and
-    stems the learned lexicons hold; the voters' accuracies and correlations come from the votes alone, and the
-    linear model learns the posteriors from the lexicon terms found. Scoring is a map without shuffle.
+    At most `fit_rows` labelled rows outside the held-out fold are read, one for each id. Their labels only choose
+    which words and stems the learned lexicons hold (at most `per_kind` of a kind); the voters' accuracies and
+    correlations come from the votes alone, and the linear model learns the posteriors from the votes, the
+    lexicons' terms and all words, hashed. Scoring is a map without shuffle.
 
-    Returned, one row for each row: the id, held_out (crc32 of the id mod `modulus` equals `held`), score,
-    predicted. A null text counts as empty. Without labels only the fixed list votes. A null id is hashed as the
-    empty text.
+    Returned, one row for each row: the carried columns (default: all) with held_out (crc32 of the id mod `modulus`
+    equals `held`), score and predicted, which replace input columns of such names. A null text counts as empty.
+    Without labels only the fixed list votes. A null id is hashed as the empty text.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
+    rows = docs.select(packed(carry), F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    sample = sampled_labels(docs, named, "doc_id", "label", fit_rows, lambda c: fold(c, modulus) != held)
+    sample = cut(sampled_labels(texts, named, "doc_id", "label", fit_rows, lambda c: fold(c, modulus) != held))
     lexicons = learn_lexicons(sample, per_kind, precision, least)
     lexicons |= {("word", w): 0 for w in INSULTS if ("word", w) not in lexicons}
 
-    def cast_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(lexicons)
         for b in batches:
             got = [voters(t) for t in b["__text"]]
-            yield pd.DataFrame({"votes": [np.flatnonzero(g[0]).astype(np.int32) for g in got], "terms": [g[1] for g in got]})
+            yield pd.DataFrame(
+                {"votes": [np.flatnonzero(g[0]).astype(np.int32) for g in got], "terms": [g[1] for g in got], "x": [g[2].tobytes() for g in got]}
+            )
 
-    seen = sample.mapInPandas(cast_votes, "votes array<int>, terms array<int>").collect()
-    seen.sort(key=lambda r: (r["votes"], r["terms"]))
+    seen = sample.mapInPandas(show, "votes array<int>, terms array<int>, x binary").collect()
+    seen.sort(key=lambda r: (r["votes"], r["terms"], bytes(r["x"])))
     width = len(lexicons)
 
-    def matrix(rows: list[list[int]], columns: int) -> np.ndarray:
-        out = np.zeros((len(rows), columns), dtype=np.float32)
-        for i, r in enumerate(rows):
+    def matrix(found: list[list[int]], columns: int) -> np.ndarray:
+        out = np.zeros((len(found), columns), dtype=np.float32)
+        for i, r in enumerate(found):
             out[i, r] = 1
         return out
 
     if seen:
         votes = matrix([r["votes"] for r in seen], VOTERS)
         posterior = label_model(votes, prior=0.1)
-        weights = linear_model(np.hstack([matrix([r["terms"] for r in seen], width), votes]), posterior)
+        hashed = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in seen])
+        weights = linear_model(np.hstack([matrix([r["terms"] for r in seen], width), votes, hashed]), posterior)
     else:
-        weights = np.array([0.0] * width + [4.0] + [0.0] * (VOTERS - 1) + [-3.0])
+        weights = np.array([0.0] * width + [4.0] + [0.0] * (VOTERS - 1 + HASHED) + [-3.0])
     shared = docs.sparkSession.sparkContext.broadcast((lexicons, weights))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         terms, w = shared.value
         voters = Voters(terms)
-        for b in batches:
-            out = np.empty(len(b))
-            for i, t in enumerate(b["text"].tolist()):
-                votes, found, _ = voters(t or "")
-                margin = w[found].sum() + w[width:-1] @ votes + w[-1]
+        of_votes, of_words = w[width : width + VOTERS], w[width + VOTERS : -1]
+        for batch in batches:
+            out = np.empty(len(batch))
+            for i, t in enumerate(batch.tolist()):
+                votes, found, hashed = voters(t)
+                margin = w[found].sum() + of_votes @ votes + of_words @ hashed + w[-1]
                 out[i] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": out})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(score, f"doc_id {kind}, score double").select(
-        F.col("doc_id").alias(id_col),
-        (fold("doc_id", modulus) == held).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+            yield pd.Series(out)
+
+    return (
+        rows.withColumn("__score", score("__text"))
+        .withColumn("__out", fold("__id", modulus) == held)
+        .select(
+            *unpacked(carry),
+            F.col("__out").alias("held_out"),
+            F.col("__score").alias("score"),
+            (F.col("__score") >= threshold).cast("int").alias("predicted"),
+        )
     )

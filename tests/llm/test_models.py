@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import katz
-from tessera.llm.quality import score_quality
+from tessera.llm import katz, quality
+from tessera.llm.quality import sampled_labels, score_quality
 from tessera.llm.toxicity import label_model, score_toxicity
 
 WORDS = "lorem ipsum dolor sit amet elit sed magna aliqua erat nulla vita".split()
@@ -66,6 +66,116 @@ def test_toxicity(corpus, clashing):
     assert all(plain[i] == int("idiot" in (texts[i] or "")) for i in range(400))
 
 
+def test_ids_keep_their_digits_beside_nulls(documents, spark):
+    rows = [(2**53 + 1, "lorem ipsum dolor"), (None, "sit amet"), (2**53 + 3, "idiot"), (2**53 + 1, "elit sed")]
+    labels = spark.createDataFrame([(2**53 + 1, 1, 0), (2**53 + 3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    want = sorted((i for i, _ in rows), key=repr)
+    docs = documents(rows, 1)
+    for found in (score_quality(docs, labels, carry=["doc_id"]), score_toxicity(docs, labels, carry=["doc_id"]), katz.score_documents(docs)):
+        got = found.collect()
+        assert sorted((r["doc_id"] for r in got), key=repr) == want
+        assert all(r["held_out"] in (True, False) for r in got)
+
+
+def test_repeated_ids_teach_once(documents, spark):
+    """A third of the rows share one labelled id: one of them is read."""
+    rows = [(1, f"text {i}") for i in range(100)] + [(2, "a"), (3, "b")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)] * 3, "doc_id long, quality int")
+    found = sampled_labels(documents(rows), labels, "doc_id", "quality", 10, lambda c: F.lit(True)).collect()
+    assert len(found) == 3 and sorted(r["__label"] for r in found) == [0, 1, 1]
+
+
+def brute_vote(query, known, labels, neighbours):
+    cos = lambda a, b: math.fsum(x * y for x, y in zip(a, b)) / (math.sqrt(math.fsum(x * x for x in a) * math.fsum(x * x for x in b)) or 1)
+    near = sorted(((cos(query, k), y) for k, y in zip(known, labels)), key=lambda n: -n[0])[:neighbours]
+    weights = [max(c, 0) ** 8 + 1e-9 for c, _ in near]
+    return sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)
+
+
+def test_quality_against_brute_force(corpus):
+    """Every score is the vote of the nearest labelled vectors, by plain loops over the same loadings."""
+    docs, labels, rows = corpus
+    named = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None and crc(r["doc_id"]) % 5:
+            named[r["doc_id"]] = max(named.get(r["doc_id"], 0), r["quality"])
+    counter = quality.Terms()
+    known = sorted((named[i], counter.row(t or "").tolist()) for i, t in dict(rows).items() if i in named)
+    x = np.array([k for _, k in known], dtype=np.float32)
+    # the operator sorts its rows by label and nonzero terms; singular vectors do not depend on the order but for signs
+    loadings = quality.latent(x, min(32, len(known)))
+    vectors, y = (x @ loadings).tolist(), [k for k, _ in known]
+    got = {r["text"]: r["score"] for r in score_quality(docs, labels).collect()}
+    close = 0
+    for _, text in rows:
+        v = (counter.row(text or "") @ loadings).tolist()
+        want = brute_vote(v, vectors, y, 15) if any(v) else sum(y) / len(y)
+        close += abs(got[text] - want) < 0.02
+    assert close >= 0.98 * len(rows)  # neighbours at a tie may differ
+
+
+def test_vote_against_brute_force():
+    rng = np.random.default_rng(3)
+    known, labels, queries = rng.standard_normal((40, 6)), rng.integers(0, 2, 40).astype(float), rng.standard_normal((25, 6))
+    got = quality.vote(quality.unit(queries), quality.unit(known), labels, 7)
+    assert got == pytest.approx([brute_vote(q.tolist(), known.tolist(), labels.tolist(), 7) for q in queries])
+
+
+def brute_label_model(votes, prior, rounds, least):
+    """The same model in plain Python: dictionaries of counts, Prim's algorithm, no matrices."""
+    n, m = len(votes), len(votes[0])
+    post = [0.9 if any(v) else prior / 10 for v in votes]
+    parent = []
+    for turn in range(rounds):
+        classes = [post, [1 - p for p in post]]
+        if turn % 10 == 0:
+            info = [[0.0] * m for _ in range(m)]
+            for w in classes:
+                total = sum(w) + 2
+                one = [(sum(w[r] * votes[r][i] for r in range(n)) + 1) / total for i in range(m)]
+                for i in range(m):
+                    for j in range(m):
+                        both = (sum(w[r] * votes[r][i] * votes[r][j] for r in range(n)) + 2 * one[i] * one[j]) / total
+                        for a, b, joint in ((one[i], one[j], both), (one[i], 1 - one[j], one[i] - both), (1 - one[i], one[j], one[j] - both), (1 - one[i], 1 - one[j], 1 - one[i] - one[j] + both)):
+                            joint = max(joint, 1e-12)
+                            info[i][j] += sum(w) / n * joint * math.log(joint / (a * b))
+            parent, best, source, left = [-1] * m, [-1.0] * m, [-1] * m, list(range(m))
+            while left:
+                at = max(left, key=lambda i: best[i])
+                left.remove(at)
+                if best[at] >= least:
+                    parent[at] = source[at]
+                for i in left:
+                    if info[at][i] > best[i]:
+                        best[i], source[i] = info[at][i], at
+        share = min(max(sum(post) / n, 1e-3), 0.5)
+        margins = [math.log(share / (1 - share))] * n
+        for i, j in enumerate(parent):
+            rates = [(sum(p * v[i] for p, v in zip(post, votes)) + 0.1) / (sum(post) + 1), 0.0]
+            rates[0] = min(max(rates[0], 1e-3), 1 - 1e-3)
+            rates[1] = min(max((sum((1 - p) * v[i] for p, v in zip(post, votes)) + 0.01) / (n - sum(post) + 1), 1e-5), rates[0])
+            for r, v in enumerate(votes):
+                for sign, w, rate in ((1, classes[0], rates[0]), (-1, classes[1], rates[1])):
+                    p = rate
+                    if j >= 0:
+                        same = [q for q in range(n) if votes[q][j] == v[j]]
+                        p = (sum(w[q] * votes[q][i] for q in same) + 2 * rate) / (sum(w[q] for q in same) + 2)
+                    p = min(max(p, 1e-5), 1 - 1e-5)
+                    margins[r] += sign * math.log(p if v[i] else 1 - p)
+        post = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in margins]
+    return post
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(5)
+    truth = rng.random(90) < 0.3
+    votes = np.stack([rng.random(90) < np.where(truth, a, b) for a, b in ((0.7, 0.1), (0.6, 0.05), (0.8, 0.2))], axis=1)
+    votes = np.hstack([votes, votes[:, :1] ^ (rng.random((90, 1)) < 0.1)])
+    for rounds in (1, 12):
+        got = label_model(votes, 0.2, rounds, 0.002)
+        assert got == pytest.approx(brute_label_model(votes.astype(int).tolist(), 0.2, rounds, 0.002), abs=1e-6)
+
+
 def test_label_model_finds_classes_without_labels():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.1
@@ -76,6 +186,23 @@ def test_label_model_finds_classes_without_labels():
     assert right(label_model(votes, 0.1) > 0.5) > max([right(votes.any(axis=1)), *(right(v) for v in votes.T)]) + 0.01
 
 
+def test_linear_model_sees_words_that_no_voter_knows(documents, spark):
+    """A word in half of the labelled toxic texts, in too few clean ones to matter, weighs even where no voter fires."""
+    random.seed(10)
+    rows, labels = [], []
+    for i in range(600):
+        words, toxic = random.choices(WORDS, k=20), i % 4 == 1
+        if toxic:
+            words[3:5] = [random.choice(["idiot", "moron"]), "grubly"]
+        elif i % 8 == 0:
+            words[3] = "grubly"  # too often clean for a lexicon
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(1000, " ".join(WORDS + ["grubly"])), (1001, " ".join(WORDS))]
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[1000] > got[1001]
+
+
 # ---- Katz
 
 
