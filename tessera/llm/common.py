@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,21 +60,28 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, bucket
     )
 
 
-def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, total: int, nulls: bool = False) -> DataFrame:
     """rows left-joined with a summary of one row a key, where `weight` counts the rows of that key.
 
     Fewer than HEAVY keys can hold more than 1/HEAVY of all rows: these are broadcast, and only rows of lighter
-    keys shuffle, so that no task gets a large group. Rows with a null in a key match nothing and stay where they are.
+    keys shuffle, so that no task gets a large group. With `nulls`, the first key may be null: such rows match nothing
+    and stay where they are.
     """
     added = [c for c in summary.columns if c not in keys]
     tagged = rows.join(F.broadcast(summary.where(F.col(weight) * HEAVY > total)), keys, "left")
     rest = tagged.where(F.col(weight).isNull()).drop(*added)
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
-    light = rest.where(whole).join(summary.where(F.col(weight) * HEAVY <= total), keys, "left")
-    none = rest.where(~whole).select("*", *[F.lit(None).cast(summary.schema[c].dataType).alias(c) for c in added])
-    return tagged.where(F.col(weight).isNotNull()).unionByName(light).unionByName(none)
+    found = tagged.where(F.col(weight).isNotNull())
+    if nulls:
+        none = [F.lit(None).cast(summary.schema[c].dataType).alias(c) for c in added]
+        found = found.unionByName(rest.where(F.col(keys[0]).isNull()).select("*", *none))
+        rest = rest.where(F.col(keys[0]).isNotNull())
+    return found.unionByName(rest.join(summary.where(F.col(weight) * HEAVY <= total), keys, "left"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of plans that are done with; they would count against the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def numbered(docs: DataFrame, carry: list[str], columns: list[Column]) -> DataFrame:

@@ -12,7 +12,6 @@ the other. `exchange` does both: everyone who asks about a hash learns the sums
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 import zlib
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, new_path, store, text_of
+from tessera.llm.common import fold, new_path, release, store, text_of
 
 CUTOFF = 5  # counts above it are not discounted
 FAN_BITS = 8  # a node of the exchange hears at most about 2^FAN_BITS others and speaks to as many
@@ -411,12 +410,6 @@ def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     return found
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of plans that are done with; they would count against the disk."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def score_documents(
     docs: DataFrame,
     *,

@@ -132,13 +132,13 @@ def shard_documents(
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("crc"),
             (F.unhex(F.sha2(text, 256)) if hub is None else hub).alias("hub"),
-        ).withColumn("h", F.xxhash64("id", "crc"))
+        ).withColumn("h", F.xxhash64("id", "crc", F.when(F.col("id").isNull(), F.monotonically_increasing_id())))
     )
     total = rows.count()
     sizes = cut(
         rows.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    rows = cut(attach(rows, sizes, ["hub"], "n", total))
+    rows = cut(attach(rows, sizes, ["hub"], "n", total, nulls=True))
     buckets = min(4096, max(32, total // 50_000))
     names = ["id", "size", "crc", "h", "hub"]
     quota = [total // shards + (s < total % shards) for s in range(shards)]
