@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, cut, packed, text_of, unpacked
+from tessera.llm.common import WORD, cut, numbered, text_of, unpacked
 
 RESULT = ["size", "source_size", "target", "taken", "finish"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
-    """Water-filling: (__src, __source_size) -> with __target. One row a source, ranked in one task.
+    """Water-filling: (__src, __source_size) -> with __target. One row a source, ranked in one task (a million sources
+    are some 100 MB there).
 
     Sources by code point, null last, take the weights in turn. Sorted by capacity over weight, the capped ones
     come first: source i is capped when what is left for it exceeds `most` times its size. What is left, in words
@@ -58,12 +59,15 @@ def mix_sources(
 ) -> DataFrame:
     """Takes whole documents, at most twice each, until the mix holds share[0]/share[1] of all words.
 
-    Each source's documents stand in a fixed shuffled order (md5 of the id, then the id and a hash of the text),
-    twice over. A document's virtual finish time is the running word count of its source divided by the source's
-    target; the mix is the prefix, in order of finish time, that fits the total. Everything finishing by time 1
-    fits (no source is past its target there); of what follows, only documents within the few words still left
-    can enter, and these and each source's first that is too long (the prefix ends there) are sorted together. Running counts come from (source, hash bucket) sums, so a hot
-    source is split over 4096 buckets.
+    Each source's documents stand in a fixed shuffled order (md5 of the id and of the text, then the row number), twice
+    over. A document's virtual finish time is the running word count of its source divided by the source's target; the
+    mix is the prefix, in order of finish time, that fits the total. Everything finishing by time 1 fits (no source is
+    past its target there); of what follows, only documents within the few words still left can enter, and these and
+    each source's first that is too long (the prefix ends there) are sorted together, a few rows a source in one task.
+
+    Texts are read once, into a table of the carried columns, sizes, order and row numbers; decisions are made on its
+    narrow columns and brought back by row number. Running counts come from (source, hash bucket) sums, so a hot source
+    is split over 4096 buckets; only rows of equal id and text share a bucket by force.
 
     Returned: the carried columns (default: all) with size, source_size, target, taken (words) and finish (virtual
     time of the first copy; null without words); these replace input columns of such names. Null texts have no
@@ -71,19 +75,20 @@ def mix_sources(
     an empty table gives an empty result.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
-    rows = docs.select(
-        packed(carry),
-        F.col(id_col).alias("__id"),
-        F.col(source_col).alias("__src"),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("__size"),
-        F.md5(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")).alias("__order"),
-        F.xxhash64(text_col).alias("__tie"),
-    ).withColumn("__b", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
-    if text_col not in carry:
-        rows = cut(rows)
-
-    slots = rows.groupBy("__src", "__b").agg(F.sum("__size").alias("__sum"))
-    slots = cut(slots)
+    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = numbered(
+        docs,
+        carry,
+        [
+            F.col(source_col).alias("__src"),
+            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("__size"),
+            digest(F.concat(name, F.lit(":"), digest(text_of(text_col)))).alias("__order"),
+        ],
+    )
+    keys = rows.select("__uid", "__src", "__size", "__order", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int").alias("__b"))
+
+    slots = cut(keys.groupBy("__src", "__b").agg(F.sum("__size").alias("__sum")))
     sizes = slots.groupBy("__src").agg(F.sum("__sum").alias("__source_size"))
     targets = source_targets(sizes, weights, share, 2)
     before = Window.partitionBy("__src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,19 +99,16 @@ def mix_sources(
             F.col("__src").alias("__osrc"), F.col("__b").alias("__ob"), "__off", "__source_size", "__target", "__all"
         )
     )
-    inner = Window.partitionBy("__src", "__b").orderBy("__order", "__id", "__tie")
+    inner = Window.partitionBy("__src", "__b").orderBy("__order", "__uid")
     queued = (
-        rows.withColumn("__in", F.sum("__size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        keys.withColumn("__in", F.sum("__size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
         .join(offsets, F.col("__src").eqNullSafe(F.col("__osrc")) & (F.col("__b") == F.col("__ob")))
         .withColumn("__cum", F.col("__off") + F.col("__in"))
-        .drop("__osrc", "__ob", "__off", "__in")
+        .drop("__osrc", "__ob", "__off", "__in", "__b")
     )
     first = (F.col("__cum") <= F.col("__target")) & (F.col("__size") > 0)
     second = (F.col("__cum") + F.col("__source_size") <= F.col("__target")) & (F.col("__size") > 0)
-    copies = F.when(first, 1).otherwise(0) + F.when(second, 1).otherwise(0)
-    queued = queued.withColumn("__copies", copies)
-    if text_col not in carry:
-        queued = cut(queued)
+    queued = cut(queued.withColumn("__copies", F.when(first, 1).otherwise(0) + F.when(second, 1).otherwise(0)))
 
     # what is left once every source has reached time 1, and the next documents that may still fit
     taken = queued.groupBy("__src").agg(
@@ -118,7 +120,6 @@ def mix_sources(
     got = taken.select(F.col("__src").alias("__gsrc"), "__got")
     spare = (
         queued.where("__size > 0 and __copies < 2")
-        .select("__src", "__id", "__order", "__tie", "__size", "__cum", "__source_size", "__target", "__copies")
         .withColumn("__turn", F.explode(F.sequence(F.col("__copies"), F.lit(1))))
         .withColumn("__at", F.col("__cum") + F.col("__turn") * F.col("__source_size"))
         .where((F.col("__at") > F.col("__target")) & (F.col("__at") - F.col("__size") - F.col("__target") <= left))
@@ -126,31 +127,18 @@ def mix_sources(
         .where(F.col("__at") - F.col("__size") - F.col("__got") <= left)
     )
     line = Window.orderBy(
-        F.col("__at") / F.col("__target"), F.col("__src").isNull(), "__src", "__order", "__id", "__tie", "__turn"
+        F.col("__at") / F.col("__target"), F.col("__src").isNull(), "__src", "__order", "__uid", "__turn"
     ).rowsBetween(Window.unboundedPreceding, 0)
     extra = (
         spare.withColumn("__run", F.sum("__size").over(line))
         .where(F.col("__run") <= left)
-        .select(
-            F.col("__src").alias("__esrc"),
-            F.col("__cum").alias("__ecum"),
-            F.col("__id").alias("__eid"),
-            F.lit(1).alias("__extra"),
-        )
-        .groupBy("__esrc", "__ecum", "__eid")
-        .agg(F.sum("__extra").alias("__extra"))
+        .groupBy("__uid")
+        .agg(F.count(F.lit(1)).cast("int").alias("__extra"))
     )
-    # cum is unique in a source for documents that have words
+    decided = queued.join(extra, "__uid", "left").withColumn("__copies", F.col("__copies") + F.coalesce(F.col("__extra"), F.lit(0)))
     return (
-        queued.join(
-            extra,
-            F.col("__src").eqNullSafe(F.col("__esrc"))
-            & (F.col("__cum") == F.col("__ecum"))
-            & F.col("__id").eqNullSafe(F.col("__eid"))
-            & (F.col("__size") > 0),
-            "left",
-        )
-        .withColumn("__copies", F.col("__copies") + F.coalesce(F.col("__extra"), F.lit(0)))
+        rows.select("__row", "__uid")
+        .join(decided, "__uid")
         .select(
             *unpacked(carry),
             F.col("__size").alias("size"),
@@ -165,7 +153,7 @@ def mix_sources(
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
