@@ -10,7 +10,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import attach, cut, packed, text_of, unpacked
 from tessera.llm.components import components
@@ -48,6 +47,7 @@ def fingerprint(text: str, shingle: int) -> int:
 RING, SEGMENT, EXACT = 16, 4, 20
 _BUDGETS = [(np.uint64(24), 1), (np.uint64(4), 2), (np.uint64(0), 3)]
 SMALL, LEAF = 16, 256
+LAST = 12
 
 
 def on_the_chain(x: np.ndarray) -> np.ndarray:
@@ -95,10 +95,10 @@ def spanning_links(group: np.ndarray, left: list[int]) -> list[tuple[int, int]]:
 
 
 def chain_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links inside a partition sorted by (key, rotated fingerprint); key is rotation * 2^20 + the first 20 bits."""
+    """Links inside a partition sorted by (key, rotated fingerprint); the low bits of key are rotation * 2^20 + the first 20 bits."""
 
     def rotated_back(key: np.ndarray, x: np.ndarray) -> np.ndarray:
-        shift = (key >> EXACT).astype(np.uint64) * np.uint64(SEGMENT)
+        shift = (key >> EXACT & (RING - 1)).astype(np.uint64) * np.uint64(SEGMENT)
         back = (np.uint64(BITS) - shift) % np.uint64(BITS)
         return ((x << back) | (x >> shift)).view(np.int64) if len(x) else x.view(np.int64)
 
@@ -134,6 +134,59 @@ def chain_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield linked(held_key, held)
 
 
+def split_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, turned, known: bits that the key's fingerprints share) under four new keys each.
+
+    The unknown bits fall into four even blocks. A linked pair differs in at most three bits, so it agrees on one of
+    the blocks at least and meets under that block's key.
+    """
+    for b in batches:
+        key, x, known = (b[c].to_numpy().view(np.uint64) for c in ("key", "turned", "known"))
+        low = key & np.uint64((RING << EXACT) - 1)
+        for mask in np.unique(known):
+            at = np.flatnonzero(known == mask)
+            for block in _blocks([i for i in range(BITS - EXACT) if not int(mask) >> i & 1]):
+                bits = np.uint64(sum(1 << i for i in block))
+                path = (key[at] ^ (mask | bits)) * np.uint64(0x9E3779B97F4A7C15) + (x[at] & bits)
+                path = (path ^ (path >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                new = (path >> np.uint64(29)) << np.uint64(EXACT + 4) | low[at]
+                yield pd.DataFrame(
+                    {"key": new.view(np.int64), "turned": x[at].view(np.int64), "known": np.full(len(at), mask | bits).view(np.int64)}
+                )
+
+
+def fingerprint_links(prints: DataFrame, crowd: int) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints `fp` at ALLOWED differing bits or fewer.
+
+    Each goes to 16 keys, its rotation and the 20 bits of the first five segments there. Keys with more than `crowd`
+    fingerprints split by further bits, again and again, so no task gets a crowd, whatever its size: at most 2^LAST
+    fingerprints share all but LAST bits.
+    """
+    keys = F.array(
+        *[
+            F.struct(
+                F.shiftrightunsigned(turned("fp", r * SEGMENT), BITS - EXACT).bitwiseOR(F.lit(r << EXACT)).alias("key"),
+                turned("fp", r * SEGMENT).alias("turned"),
+                F.lit(0).cast("long").alias("known"),
+            )
+            for r in range(RING)
+        ]
+    )
+    dealt, found = prints.select(F.inline(keys)), None
+    while True:
+        # with fewer unknown bits a key cannot hold more, and three differences could touch every block
+        open_keys = dealt.where(F.bit_count("known") <= BITS - EXACT - LAST)
+        crowded = cut(open_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd))
+        none = crowded.isEmpty()
+        tagged = dealt if none else attach(dealt, crowded, ["key"], "n", dealt.count())
+        calm = tagged if none else tagged.where("n is null")
+        links = calm.select("key", "turned").repartition("key").sortWithinPartitions("key", "turned").mapInPandas(chain_links, "a long, b long")
+        found = links if found is None else found.unionByName(links)
+        if none:
+            return found
+        dealt = cut(tagged.where("n is not null").select("key", "turned", "known").mapInPandas(split_keys, "key long, turned long, known long"))
+
+
 def turned(name: str, by: int):
     """The fingerprint rotated left by some bits."""
     c = F.col(name)
@@ -149,7 +202,9 @@ def fingerprint_column(text, shingle: int):
     return fingerprints(text)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, crowd: int = 4096
+) -> DataFrame:
     """Fingerprint and component of each document: equal or similar texts, over any chain of links.
 
     Equal fingerprints are one from the start, so copies are never compared. Each distinct fingerprint goes to 16
@@ -160,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returned, one row for each row: the id, fingerprint (hex), component_id (smallest id that links reach, nulls
     aside), row_key (hash of id and text), group (the component's smallest fingerprint as a number; unlike ids,
     which rows may share, it tells components apart). Null and empty texts and those of white space have fingerprint 0 and
-    link like any other.
+    link like any other. Raises if chains of links are so long that components do not settle in 60 rounds.
     """
     rows = cut(
         docs.select(
@@ -170,17 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
     )
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
-    keys = F.array(
-        *[
-            F.struct(
-                F.shiftrightunsigned(turned("fp", r * SEGMENT), BITS - EXACT).bitwiseOR(F.lit(r << EXACT)).alias("key"),
-                turned("fp", r * SEGMENT).alias("turned"),
-            )
-            for r in range(RING)
-        ]
-    )
-    dealt = prints.select(F.inline(keys)).repartition("key").sortWithinPartitions("key", "turned")
-    roots = components(dealt.mapInPandas(chain_links, "a long, b long"))
+    roots = components(fingerprint_links(prints, crowd))
     whose = cut(
         prints.join(roots, F.col("fp") == F.col("node"), "left").select(
             "fp", "low", "n", F.coalesce("root", "fp").alias("root")
@@ -216,6 +261,5 @@ def drop_near_duplicates(
     stay = cut(stay.select(F.col("best.row_key").alias("__key")).distinct())
     names = docs.columns
     keyed = docs.select(packed(names), F.xxhash64(F.col(id_col), text_of(text_col)).alias("__key"))
-    kept = keyed.join(stay, "__key", "left_semi")
-    again = Window.partitionBy("__key").orderBy("__key")
-    return kept.withColumn("__i", F.row_number().over(again)).where("__i = 1").select(*unpacked(names))
+    # repetitions of a row meet in a map-side aggregate before anything shuffles
+    return keyed.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*unpacked(names))
