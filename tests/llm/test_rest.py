@@ -323,6 +323,22 @@ def test_shards_of_a_hot_group(documents):
     assert sum(len(groups[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(100)) >= 95
 
 
+def test_shards_by_another_column_with_nulls_and_long_texts(documents):
+    """A third of the rows have no hub: they are linked with nothing. Ids beside nulls keep their digits."""
+    random.seed(14)
+    rows = [(2**53 + 2 * i + 1, f"text {i}", f"h{i % 30}") for i in range(120)] + [(None if i % 2 else i, f"loose {i}", None) for i in range(60)]
+    rows += [(1000, "long " * 40_000, "h1"), (1001, None, "h2"), (None, "same", None), (None, "same", None)]
+    found = shard_documents(documents(rows), shards=5, hub=F.col("source")).cache()
+    check_shards(found, [r[:2] for r in rows], 5)
+    shard = {r["doc_id"]: r["shard"] for r in found.collect() if r["doc_id"] is not None}
+    hub = defaultdict(set)
+    for i, _, h in rows:
+        if h:
+            hub[h].add(shard[i])
+    assert sum(len(s) == 1 for s in hub.values()) >= 28
+    assert found.where("not linked").count() == 62
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_rows_to_shard(documents, n):
     rows = [(i, "same") for i in range(max(n, 1))]
@@ -363,6 +379,16 @@ def test_mix(documents, clashing):
     assert mixed.where(F.col("taken") > 0).count() == (got["taken"] > 0).sum()
 
 
+def test_mix_with_null_ids_and_long_texts(documents):
+    """A third of the rows have no id: their texts deal them to the buckets, and tell them apart."""
+    random.seed(15)
+    rows = [(None, f"u{i} " * random.randrange(1, 9), "hot") for i in range(150)] + [(2**53 + i, "w " * random.randrange(9), random.choice("ab")) for i in range(300)]
+    rows += [(7, "long " * 60_000, "c"), (7, "long " * 60_000 + "er", "c")]
+    check_mix(documents, rows)
+    big = mix_sources(documents(rows)).where("doc_id > 9007199254740992").select("doc_id").collect()
+    assert sorted(r[0] for r in big) == sorted(i for i, _, _ in rows if i and i > 2**53)
+
+
 def test_mix_of_little(documents):
     check_mix(documents, [(1, "a b c", "x")])
     check_mix(documents, [(1, None, None), (2, "", "x")])
