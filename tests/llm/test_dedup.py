@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.embedding_dedup import near_duplicate_vectors
+from tessera.llm.embedding_dedup import near_duplicate_vectors, settled, spanning, spherical_kmeans, visits
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.simhash import chain_links, drop_near_duplicates, near_duplicates, spanning_links
+from tessera.llm.simhash import chain_links, drop_near_duplicates, fingerprint_links, near_duplicates, spanning_links
 
 
 def components(nodes, links):
@@ -136,6 +136,20 @@ def test_links_of_fingerprints_against_all_pairs():
     assert components(nodes, pairs) == components(nodes, want)
 
 
+@pytest.mark.parametrize("crowd", [4096, 30, 3])
+def test_crowded_keys_split(spark, crowd):
+    """A third of all fingerprints share 20 bits in every rotation that holds the noise; links stay exact."""
+    rng = np.random.default_rng(6)
+    noise = np.unique(rng.integers(0, 2**18, 900).astype(np.uint64))
+    prints = np.unique(np.r_[noise, rng.integers(0, 2**63, 600).astype(np.uint64), noise[:50] ^ np.uint64(1 << 60)])
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    pairs = [(r["a"] % 2**64, r["b"] % 2**64) for r in fingerprint_links(table, crowd).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+    nodes = prints.tolist()
+    want = [(a, nodes[i + 1 + j]) for i, a in enumerate(nodes) for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ np.uint64(a)) <= 3)]
+    assert components(nodes, pairs) == components(nodes, want)
+
+
 def test_large_groups_split(monkeypatch):
     import tessera.llm.simhash as module
 
@@ -150,6 +164,13 @@ def test_large_groups_split(monkeypatch):
     assert got == components(nodes, want)
 
 
+def test_near_duplicates_keep_large_ids_beside_nulls(documents):
+    rows = [(2**53 + 1, "one two three"), (None, "one two three"), (2**53 + 3, "ONE two three"), (None, None), (None, None)]
+    got = near_duplicates(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1)]
+    assert len(got) == 5 and len({r["fingerprint"] for r in got}) == 2
+
+
 def test_drop_near_duplicates(documents, clashing):
     text = " ".join(f"word{i}" for i in range(400))
     rows = [(3, text), (1, text + " more"), (2, "something else entirely"), (9, None), (8, ""), (2, "another thing"), (7, text), (7, text)]
@@ -197,7 +218,50 @@ def test_vectors(spark, cell_rows, block_rows):
     assert check_vectors(spark, rows, cell_rows=cell_rows, block_rows=block_rows)
 
 
+def test_one_label_holds_nearly_all(spark):
+    """A hot label splits like any other: loose vectors, a chain, and a dense ball that no split makes smaller."""
+    rng = np.random.default_rng(12)
+    loose = rng.standard_normal((400, 16))
+    angles = np.arange(60) * 0.15
+    chain = np.zeros((60, 16))
+    chain[:, 0], chain[:, 1] = np.cos(angles), np.sin(angles)
+    ball = rng.standard_normal(16) + 0.02 * rng.standard_normal((150, 16))
+    vectors = np.r_[loose, chain, ball].astype(np.float32)
+    rows = [(int(i), [float(x) for x in v], 0) for i, v in zip(rng.permutation(len(vectors)), vectors)]
+    rows += [(1000 + i, rows[i][1], 1) for i in range(6)]
+    assert len(check_vectors(spark, rows, cell_rows=40, block_rows=32, fit_rows=100)) > 150 * 149 / 2
+
+
+def test_visits_hold_every_partner():
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + 0.03 * rng.standard_normal(x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    centres = spherical_kmeans(x, 40)
+    here, there = visits(x, centres, 0.98), visits(y, centres, 0.98)
+    pairs = np.flatnonzero((x * y).sum(axis=1) >= 0.98)
+    assert len(pairs) > 500 and any(here[i][0] != there[i][0] for i in pairs)
+    for i in pairs:
+        low, high = (here[i], there[i]) if here[i][0] <= there[i][0] else (there[i], here[i])
+        assert high[0] in low
+
+
+def test_spanning_links_keep_components():
+    rng = np.random.default_rng(14)
+    for n in (1, 30, 200):
+        matrix = rng.random((n, n)) < 1.2 / n
+        matrix |= matrix.T
+        np.fill_diagonal(matrix, False)
+        ends = [spanning(matrix[lo : lo + 16], lo) for lo in range(0, n, 16)]
+        a, b = (np.concatenate(e).astype(int) for e in zip(*ends))
+        assert settled(a, b, n).tolist() == list(components(range(n), np.argwhere(matrix).tolist()).values())
+
+
 def test_vectors_empty_and_repeated(spark):
+    large = [(2**53 + 1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2**53 + 3, [0.0, 1.0], 0)]
+    found = near_duplicate_vectors(spark.createDataFrame(large, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {2**53 + 1: (1, 2**53 + 1), None: (1, 2**53 + 1), 2**53 + 3: (0, 2**53 + 3)}
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [0.0, 1.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, near_duplicate_vectors(table).collect()), key=repr)
