@@ -152,7 +152,7 @@ def mix_sources(
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -176,8 +176,8 @@ t AS (
               ELSE CAST(w * lf AS DOUBLE) / CAST(2 * wf AS DOUBLE) END AS target
   FROM f),
 q AS (
-  SELECT d.doc_id, d.source, d.size, d.o, t.source_size, t.target, t.total,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id
+  SELECT d.rid, d.doc_id, d.source, d.size, d.o, t.source_size, t.target, t.total,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.rid
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, unnest([0, 1]) AS turn FROM q WHERE size > 0),
@@ -186,11 +186,11 @@ r AS (
     ORDER BY CASE WHEN cum + turn * source_size <= target THEN 0 ELSE 1 END,
              CASE WHEN cum + turn * source_size <= target THEN 0
                   ELSE CAST(cum + turn * source_size AS DOUBLE) / target END,
-             source NULLS LAST, o, doc_id, turn
+             source NULLS LAST, o, rid, turn
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run
   FROM e),
-k AS (SELECT source, doc_id, count(*) AS copies FROM r WHERE run <= (3 * total) // 2 GROUP BY source, doc_id)
+k AS (SELECT rid, count(*) AS copies FROM r WHERE run <= (3 * total) // 2 GROUP BY rid)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(k.copies, 0) AS BIGINT) AS taken,
        CASE WHEN q.size > 0 THEN CAST(q.cum AS DOUBLE) / q.target END AS finish
-FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.source IS NOT DISTINCT FROM k.source
+FROM q LEFT JOIN k ON q.rid = k.rid
 """
