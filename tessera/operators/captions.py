@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,12 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 
+#: Entities that HTML takes without their semicolon, and which names go on to another one. Of those that lack it only
+#: an &amp that runs into no word is sure to be one.
+_OPEN = [n for n in html5 if not n.endswith(";")]
+_CLOSED = [n for n in html5 if n.endswith(";") and n.startswith(tuple(_OPEN))]
+UNCLOSED = rf"&(?=amp[a-z0-9]|(?!amp)(?:{'|'.join(_OPEN)})|#)(?!{'|'.join(_CLOSED)}|#[0-9]+;|#[xX][0-9a-fA-F]+;)"
+
 
 @F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
@@ -18,8 +25,10 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-def clean_caption(text: Column) -> Column:
-    return tx.tidy_caption(unescape(tx.without_markup(text)))
+def clean_caption(text: Column, unclosed: bool = True) -> Column:
+    """Without markup and entities; entities without a semicolon, as in a text that was cut, stay if not `unclosed`."""
+    bare = tx.without_markup(text)
+    return tx.tidy_caption(unescape(bare if unclosed else F.regexp_replace(bare, UNCLOSED, "&amp;")))
 
 
 def decode_bytes(content: Column) -> Column:
