@@ -142,17 +142,25 @@ def tree(information: np.ndarray, least: float) -> list[int]:
     return parent
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 60, least: float = 0.002) -> np.ndarray:
-    """Posterior of the positive class for each row of votes, with no label used.
+def label_model(
+    votes: np.ndarray, prior: float, rounds: int = 60, least: float = 0.002, given: np.ndarray | None = None, trust: float = 0.95
+) -> np.ndarray:
+    """Posterior of the positive class for each row of votes; labels, if `given`, are one more voter.
 
     The generative model draws the class, then each voter given the class and one other voter: accuracies are the
     rates of firing in each class, correlations a tree of the voters that depend most on each other within the
     classes (so a copy of a voter adds nothing, and a cause of many voters counts once). Expectation maximisation
-    starts from the majority vote; the tree is drawn anew every tenth round, voters are taken to be better than
-    chance, and a voter's rates given its parent are smoothed towards its rate in the class.
+    starts from the labels, else from any vote; the tree is drawn anew every tenth round, voters are taken to be better
+    than chance, and a voter's rates given its parent are smoothed towards its rate in the class.
+
+    Labels are taken to be right at the rate `trust`, which is not learned: where the positive class has kinds that set
+    off different voters, as each language has, the tree of the negative class can hold all kinds but one, and rates
+    that follow the votes alone would take that one for the class.
     """
     v = votes.astype(float)
-    posterior = np.where(v.any(axis=1), 0.9, prior / 10)
+    likely = v.any(axis=1) if given is None else given > 0
+    posterior = np.where(likely, 0.9, prior / 10)
+    said = 0.0 if given is None else np.where(likely, 1, -1) * np.log(trust / (1 - trust))
     parent: list[int] = []
     for turn in range(rounds):
         if turn % 10 == 0:
@@ -160,7 +168,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60, least: float
         share = np.clip(posterior.mean(), 1e-3, 0.5)
         pos = np.clip((posterior @ v + 0.1) / (posterior.sum() + 1), 1e-3, 1 - 1e-3)
         neg = np.clip(((1 - posterior) @ v + 0.01) / ((1 - posterior).sum() + 1), 1e-5, pos)
-        margin = np.full(len(v), np.log(share / (1 - share)))
+        margin = np.full(len(v), np.log(share / (1 - share))) + said
         for i, j in enumerate(parent):
             odds = []
             for w, rate in ((posterior, pos[i]), (1 - posterior, neg[i])):
@@ -207,9 +215,9 @@ def score_toxicity(
 ) -> DataFrame:
     """Scores every whole text with a linear model trained on the label model's posteriors.
 
-    At most `fit_rows` labelled rows outside the held-out fold are read, one for each id. Their labels only choose
-    which words and stems the learned lexicons hold (at most `per_kind` of a kind); the voters' accuracies and
-    correlations come from the votes alone, and the linear model learns the posteriors from the votes, the
+    At most `fit_rows` labelled rows outside the held-out fold are read, one for each id. Their labels choose which
+    words and stems the learned lexicons hold (at most `per_kind` of a kind) and are one more voter of the label model;
+    the voters' accuracies and correlations come from the votes, and the linear model learns the posteriors from the votes, the
     lexicons' terms and all words, hashed. Scoring is a map without shuffle.
 
     Returned, one row for each row: the carried columns (default: all) with held_out (crc32 of the id mod `modulus`
@@ -229,11 +237,16 @@ def score_toxicity(
         for b in batches:
             got = [voters(t) for t in b["__text"]]
             yield pd.DataFrame(
-                {"votes": [np.flatnonzero(g[0]).astype(np.int32) for g in got], "terms": [g[1] for g in got], "x": [g[2].tobytes() for g in got]}
+                {
+                    "votes": [np.flatnonzero(g[0]).astype(np.int32) for g in got],
+                    "terms": [g[1] for g in got],
+                    "x": [g[2].tobytes() for g in got],
+                    "label": b["__label"],
+                }
             )
 
-    seen = sample.mapInPandas(show, "votes array<int>, terms array<int>, x binary").collect()
-    seen.sort(key=lambda r: (r["votes"], r["terms"], bytes(r["x"])))
+    seen = sample.mapInPandas(show, "votes array<int>, terms array<int>, x binary, label int").collect()
+    seen.sort(key=lambda r: (r["votes"], r["terms"], bytes(r["x"]), r["label"]))
     width = len(lexicons)
 
     def matrix(found: list[list[int]], columns: int) -> np.ndarray:
@@ -244,7 +257,7 @@ def score_toxicity(
 
     if seen:
         votes = matrix([r["votes"] for r in seen], VOTERS)
-        posterior = label_model(votes, prior=0.1)
+        posterior = label_model(votes, prior=0.1, given=np.array([r["label"] for r in seen]))
         hashed = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in seen])
         weights = linear_model(np.hstack([matrix([r["terms"] for r in seen], width), votes, hashed]), posterior)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import katz, quality
 from tessera.llm.quality import sampled_labels, score_quality
-from tessera.llm.toxicity import label_model, score_toxicity
+from tessera.llm.toxicity import INSULTS, label_model, score_toxicity
 
 WORDS = "lorem ipsum dolor sit amet elit sed magna aliqua erat nulla vita".split()
 
@@ -203,6 +203,35 @@ def test_linear_model_sees_words_that_no_voter_knows(documents, spark):
     assert got[1000] > got[1001]
 
 
+def test_kinds_of_toxic_texts_that_set_off_different_voters(documents, spark):
+    """Insults on one hand, made-up words of a few stems in three other languages on the other: all are toxic."""
+    random.seed(11)
+    ends = ["schaft", "ung", "ei", "an", "te", "isch", "ando", "aire", "mo", "ille", "or", "ux"]
+    stems = [["lowei", "lostra"], ["vequ", "veju"], ["chlla"]]
+    rows, labels = [], []
+    for i in range(2400):
+        words = random.choices(WORDS, k=60)
+        if i % 8 == 1:
+            words[5:10] = random.choices(INSULTS, k=5)
+        elif i % 16 == 2:
+            words[5:20] = [random.choice(stems[i // 16 % 3]) + random.choice(ends) + random.choice(ends) for _ in range(15)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 8 == 1 or i % 16 == 2)))
+    found = score_toxicity(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert {r["predicted"] == dict(labels)[r["doc_id"]] for r in found} == {True}
+
+
+def test_label_model_keeps_all_kinds_and_sees_wrong_labels():
+    rng = np.random.default_rng(3)
+    kind = rng.choice(5, size=4000, p=[0.9, 0.05, 0.02, 0.02, 0.01])  # 0 is the negative class
+    rates = np.vstack([np.zeros(12), np.r_[0.9 * np.ones(4), np.zeros(8)], *[np.r_[np.zeros(4), rng.choice([0.2, 0.95], 8)] for _ in range(3)]])
+    votes = rng.random((4000, 12)) < rates[kind]
+    said = (kind > 0) ^ (rng.random(4000) < 0.02)
+    guess = label_model(votes, 0.1, given=said.astype(int)) > 0.5
+    assert (guess[kind > 0]).mean() > 0.98
+    assert (~guess[kind == 0]).mean() > 0.998
+
+
 # ---- Katz
 
 
