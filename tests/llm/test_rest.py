@@ -278,6 +278,16 @@ def test_pii_learns_from_little(documents):
     assert all(r["spans"] == "" for r in nothing)
 
 
+def test_pii_learns_from_every_document(documents):
+    """The counts are those of all rows, however few vectors may come back; too many of those raise an error."""
+    rows = documents([(i, f"write to ab{chr(97 + i % 26)}{chr(97 + i // 26)}@cd.org now") for i in range(400)]).withColumnRenamed("text", "__text")
+    whole = pii.histogram_of(rows, 100)
+    assert len({f for _, _, f, _, _ in ((h, b, tuple(f), p, n) for h, b, f, p, n in whole)}) <= 100
+    assert sum(p for _, _, _, p, _ in whole) % 400 == 0 < sum(p for _, _, _, p, _ in whole)
+    with pytest.raises(ValueError):
+        pii.histogram_of(rows, 2)
+
+
 def test_pii_redaction_clash_and_empty(documents, clashing):
     docs = clashing(documents([(1, "mail a@b.cd or 1.2.3.4!"), (None, None)]), "spans")
     got = {r["doc_id"]: r["redacted"] for r in pii.find_pii(docs, with_redacted=True).collect()}
